@@ -1,0 +1 @@
+"""No streaming operators: the feature set is batch only (see README)."""
