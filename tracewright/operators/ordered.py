@@ -58,18 +58,23 @@ def scan(
     last: Mapping[str, Column] | None = None,
     last_before: Mapping[str, Column] | None = None,
     next_after: Mapping[str, Column] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add running columns along ``order`` (a unique BIGINT column) within ``keys``.
 
     ``sums`` include the row, ``sums_before`` do not. ``last`` and ``last_before`` give the latest non-null value up to
     or before the row, ``next_after`` the first non-null value behind it. With ``chunk`` None the frame must already
-    carry ``_chunk`` and keeps it, so a following scan needs no new shuffle.
+    carry ``_chunk`` and keeps it, so a following scan needs no new shuffle. ``bounded`` says that no sequence is longer
+    than one chunk, which drops the carry side. The input is read twice otherwise, so it should be a stored table or a
+    frame whose lineage was cut.
     """
     sums, sums_before = dict(sums or {}), dict(sums_before or {})
     last, last_before, next_after = dict(last or {}), dict(last_before or {}), dict(next_after or {})
     totals = {**sums, **sums_before}
     latest = {**last, **last_before}
     base = df if chunk is None else df.withColumn("_chunk", chunk)
+    if bounded and chunk is None and "_chunk" not in df.columns:
+        base = df.withColumn("_chunk", F.lit(0).cast("bigint"))
     for name, expr in {**totals, **latest, **next_after}.items():
         base = base.withColumn(f"_in_{name}", expr)
     part = [*keys, "_chunk"]
@@ -87,6 +92,9 @@ def scan(
         *[F.last(f"_in_{n}", True).over(behind).alias(f"_lo_{n}") for n in next_after],
     )
 
+    if bounded:
+        return local.select(*df.columns, *[F.col(f"_lo_{n}").alias(n) for n in {**totals, **latest, **next_after}])
+
     def at(name: str) -> Column:
         return F.when(F.col(f"_in_{name}").isNotNull(), F.col(order))
 

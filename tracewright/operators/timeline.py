@@ -11,6 +11,7 @@ from tracewright import checks
 from tracewright.functions import numeric, text
 from tracewright.operators import samples as sample_ops
 from tracewright.operators.ordered import index_chunk, scan
+from tracewright.session import cut_lineage
 
 _MS = 1_000_000
 # Buckets exploded per step; longer runs are cut into blocks first so no array grows with the interval.
@@ -79,50 +80,57 @@ def spread_intervals(gpu: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.select("trace_id", "row_no", "label", "start_ns", "bucket", "overlap_ns")
 
 
-def _ranked(weighted: DataFrame, name: str, weight: str, seen: Column) -> tuple[DataFrame, DataFrame]:
-    """Totals per bucket with the leading name, and the next three names."""
-    per_name = weighted.groupBy("trace_id", "bucket", name).agg(F.sum(weight).alias("w"), F.min(seen).alias("seen"))
-    by_weight = Window.partitionBy("trace_id", "bucket").orderBy(F.col("w").desc(), "seen")
-    ranked = per_name.withColumn("rank", F.row_number().over(by_weight)).filter("rank <= 4")
-    first = ranked.filter("rank = 1").select("trace_id", "bucket", F.col(name).alias("top"))
-    return first, ranked.filter("rank > 1").select("trace_id", "bucket", "rank", F.col(name).alias("name"), "w")
-
-
-def _cpu_buckets(samples: DataFrame, plan: DataFrame) -> DataFrame:
+def _named_weights(samples: DataFrame, gpu: DataFrame, plan: DataFrame) -> DataFrame:
+    """Weight per bucket, side and name, ranked; each source is read once and summed before the shuffle."""
     placed = samples.join(plan.select("trace_id", "t_min", "width", "n_buckets"), "trace_id")
-    placed = placed.withColumn("bucket", numeric.bucket_index("time_ns", "t_min", "width"))
-    return placed.filter("bucket < n_buckets").select(
-        "trace_id", "bucket", "row_no", "weight", F.get("backtrace", F.lit(0))["name"].alias("leaf")
+    placed = placed.withColumn("bucket", numeric.bucket_index("time_ns", "t_min", "width")).filter("bucket < n_buckets")
+    leaf = F.get("backtrace", F.lit(0))["name"]
+    cpu = placed.groupBy("trace_id", "bucket", leaf.alias("name")).agg(
+        F.sum("weight").alias("w"), F.min(F.col("row_no").cast("decimal(38,0)")).alias("seen")
     )
-
-
-def buckets(samples: DataFrame, gpu: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dense bucket table with shares, leaders and phase, and the runner-up names per bucket."""
-    cpu = _cpu_buckets(samples, plan)
-    spread = spread_intervals(gpu, plan)
-    cpu_total = cpu.groupBy("trace_id", "bucket").agg(F.sum("weight").alias("cpu_weight"))
-    gpu_total = spread.groupBy("trace_id", "bucket").agg(F.sum("overlap_ns").alias("gpu_active_ns"))
-    cpu_top, cpu_more = _ranked(cpu.filter("leaf is not null"), "leaf", "weight", F.col("row_no"))
     # Intervals are visited by start time, then in file order.
     seen = numeric.begin_key(F.col("start_ns"), F.col("row_no"))
-    gpu_top, gpu_more = _ranked(spread, "label", "overlap_ns", seen)
+    spread = spread_intervals(gpu, plan)
+    active = spread.groupBy("trace_id", "bucket", F.col("label").alias("name")).agg(
+        F.sum("overlap_ns").alias("w"), F.min(seen).alias("seen")
+    )
+    both = cpu.withColumn("side", F.lit("cpu")).unionByName(active.withColumn("side", F.lit("gpu")))
+    by_weight = Window.partitionBy("trace_id", "bucket", "side").orderBy(
+        F.col("name").isNull(), F.col("w").desc(), "seen"
+    )
+    return both.withColumn("rank", F.row_number().over(by_weight)).drop("seen")
+
 
-    dense = _each_bucket(plan.withColumn("_zero", F.lit(0).cast("bigint")).withColumn("_end", F.col("n_buckets") - 1), "_zero", "_end")
+def _dense_buckets(plan: DataFrame) -> DataFrame:
+    """Every bucket of every recording but a last one shorter than a tenth of the width."""
+    ends = plan.withColumn("_zero", F.lit(0).cast("bigint")).withColumn("_end", F.col("n_buckets") - 1)
     start = F.col("t_min") + F.col("bucket") * F.col("width")
-    dense = dense.select(
+    dense = _each_bucket(ends, "_zero", "_end").select(
         "trace_id",
         "bucket",
         "width",
         start.alias("start_ns"),
         F.least(start + F.col("width"), F.col("t_max")).alias("end_ns"),
-    ).filter(F.expr("end_ns - start_ns >= width div 10"))
-    key = ["trace_id", "bucket"]
-    joined = (
-        dense.join(cpu_total, key, "left")
-        .join(cpu_top.withColumnRenamed("top", "cpu_top_function"), key, "left")
-        .join(gpu_total, key, "left")
-        .join(gpu_top.withColumnRenamed("top", "gpu_top_shader"), key, "left")
     )
+    return dense.filter(F.expr("end_ns - start_ns >= width div 10"))
+
+
+def buckets(samples: DataFrame, gpu: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dense bucket table with shares, leaders and phase, and the runner-up names per bucket."""
+    named = _named_weights(samples, gpu, plan)
+
+    def side(value: Column, name: str) -> Column:
+        return F.when(F.col("side") == name, value)
+
+    first = F.when(F.col("rank") == 1, F.col("name"))
+    per_bucket = named.groupBy("trace_id", "bucket").agg(
+        F.sum(side(F.col("w"), "cpu")).alias("cpu_weight"),
+        F.sum(side(F.col("w"), "gpu")).alias("gpu_active_ns"),
+        F.max(side(first, "cpu")).alias("cpu_top_function"),
+        F.max(side(first, "gpu")).alias("gpu_top_shader"),
+    )
+    dense = _dense_buckets(plan)
+    joined = dense.join(per_bucket, ["trace_id", "bucket"], "left")
     length = F.col("end_ns") - F.col("start_ns")
     shares = joined.select(
         "trace_id",
@@ -137,37 +145,54 @@ def buckets(samples: DataFrame, gpu: DataFrame, plan: DataFrame) -> tuple[DataFr
         F.coalesce("gpu_top_shader", F.lit(text.IDLE)).alias("gpu_top_shader"),
     )
     shares = shares.withColumn("phase", numeric.classify_phase(F.col("cpu_pct"), F.col("gpu_pct")))
-    kept = dense.select("trace_id", "bucket")
-    others = cpu_more.withColumn("side", F.lit("cpu")).unionByName(gpu_more.withColumn("side", F.lit("gpu")))
-    return shares, others.join(kept, key, "left_semi")
+    others = named.filter("rank between 2 and 4 and name is not null")
+    return shares, others.join(dense.select("trace_id", "bucket"), ["trace_id", "bucket"], "left_semi")
 
 
-def merge_phases(timeline: DataFrame) -> DataFrame:
-    """Runs of buckets with equal phase; a phase ends where the next one starts."""
+def merge_phases(timeline: DataFrame, bounded: bool = False) -> DataFrame:
+    """Runs of buckets with equal phase; a phase ends where the next one starts.
+
+    ``bounded`` states that recordings have at most a chunk of buckets, as with any given number of buckets.
+    """
     key = ["trace_id"]
     chunked = timeline.withColumn("_chunk", index_chunk("bucket"))
-    marked = scan(chunked, key, "bucket", last_before={"previous": F.col("phase")})
+    marked = scan(chunked, key, "bucket", last_before={"previous": F.col("phase")}, bounded=bounded)
     change = (F.col("previous").isNull() | (F.col("previous") != F.col("phase"))).cast("bigint")
     # The start of the following bucket closes a run; the last run closes at its own end.
-    grouped = scan(
-        marked, key, "bucket", sums={"island": change}, next_after={"next_start": F.col("start_ns")}
-    )
+    next_start = {"next_start": F.col("start_ns")}
+    grouped = scan(marked, key, "bucket", sums={"island": change}, next_after=next_start, bounded=bounded)
     run = ["trace_id", "island"]
-    stats = grouped.groupBy(*run).agg(
-        F.min("phase").alias("phase"),
+    # One row per run and pair of leaders, then the most frequent leader of each side.
+    pairs = grouped.groupBy(*run, "phase", "cpu_top_function", "gpu_top_shader").agg(
         F.min("start_ns").alias("start_ns"),
         F.max(F.coalesce("next_start", "end_ns")).alias("end_ns"),
-        F.count(F.lit(1)).alias("buckets"),
-        F.avg("cpu_pct").alias("avg_cpu_pct"),
-        F.avg("gpu_pct").alias("avg_gpu_pct"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("bucket").alias("first"),
+        F.sum("cpu_pct").alias("cpu"),
+        F.sum("gpu_pct").alias("gpu"),
     )
 
-    def leader(name: str) -> DataFrame:
-        counts = grouped.groupBy(*run, name).agg(F.count(F.lit(1)).alias("n"), F.min("bucket").alias("first"))
-        best = Window.partitionBy(*run).orderBy(F.col("n").desc(), "first")
-        return counts.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*run, name)
+    def votes(name: str, side: str) -> tuple[Column, Column]:
+        per = Window.partitionBy(*run, name)
+        return F.sum("n").over(per).alias(f"_{side}_n"), F.min("first").over(per).alias(f"_{side}_first")
+
+    counted = pairs.select("*", *votes("cpu_top_function", "cpu"), *votes("gpu_top_shader", "gpu"))
+
+    def leader(name: str, side: str) -> Column:
+        # Most buckets first, then the earliest bucket, as one sortable number.
+        key = F.col(f"_{side}_n").cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") - F.col(f"_{side}_first")
+        return F.max_by(name, key.cast("decimal(38,0)")).alias(name)
 
-    out = stats.join(leader("cpu_top_function"), run).join(leader("gpu_top_shader"), run)
+    out = counted.groupBy(*run).agg(
+        F.min("phase").alias("phase"),
+        F.min("start_ns").alias("start_ns"),
+        F.max("end_ns").alias("end_ns"),
+        F.sum("n").alias("buckets"),
+        (F.sum("cpu") / F.sum("n")).alias("avg_cpu_pct"),
+        (F.sum("gpu") / F.sum("n")).alias("avg_gpu_pct"),
+        leader("cpu_top_function", "cpu"),
+        leader("gpu_top_shader", "gpu"),
+    )
     return out.withColumn("duration_ns", F.col("end_ns") - F.col("start_ns"))
 
 
@@ -219,9 +244,10 @@ def correlated_timeline(
     """
     if target_process is not None:
         samples = sample_ops.filter_process(samples, target_process)
-    plan = bucket_plan(extents(samples, gpu), num_buckets, bucket_ms)
+    # One row per recording; every later step joins it, so it is stored once.
+    plan = cut_lineage(bucket_plan(extents(samples, gpu), num_buckets, bucket_ms))
     timeline, others = buckets(samples, gpu, plan)
-    phases = merge_phases(timeline)
+    phases = merge_phases(timeline, bounded=bucket_ms is None)
     cpu_count = samples.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_cpu_samples"))
     gpu_count = gpu.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_gpu_intervals"))
     summary = (
