@@ -314,12 +314,22 @@ def _number_buffers(instances: DataFrame) -> DataFrame:
     )
 
 
+def call_rows(calls: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """State-carrying calls with bound kernel, encoder number and binding run; stored for the steps behind it."""
+    known = known_calls(calls)
+    return cut_lineage(_assign_encoders(_track(known, pipeline_sets(known, resources))))
+
+
+def dispatch_kernels(rows: DataFrame) -> DataFrame:
+    """The kernel bound at each dispatch."""
+    kernel = F.coalesce("bound", F.lit("unknown")).alias("kernel")
+    return rows.filter(_is(DISPATCH_GROUPS, DISPATCH_THREADS)).select("trace_id", "func_idx", kernel)
+
+
 def read_calls(calls: DataFrame, resources: DataFrame | None = None) -> CallState:
     """Reconstruct events, bindings, encoders and command buffers from an ordered call log."""
-    known = known_calls(calls)
-    tracked = _track(known, pipeline_sets(known, resources))
-    rows = cut_lineage(_assign_encoders(tracked))
-    buffers = _command_buffers(tracked)
+    rows = call_rows(calls, resources)
+    buffers = _command_buffers(rows)
     instances = buffers.instances
     listed = instances.filter("num_dispatches > 0").select(
         "trace_id",
