@@ -286,3 +286,99 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
         F.col("time_ns").alias("ts_ns"),
         (F.col("cents").cast("double") / F.lit(100.0)).alias("value"),
     )
+
+
+def timeline_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """End of the timeline and busy time of each recording."""
+    ends = timed_dispatches(spark, sf).groupBy("trace_id").agg(F.max("ts_end_ns").alias("timeline_end_ns"))
+    return ends.withColumn("gpu_time_ns", F.expr("timeline_end_ns * (80 + trace_id % 20) div 100"))
+
+
+def named_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters whose names partly occur in the catalog, with some zero series and some hash names."""
+    base = counters(spark, sf)
+    name = F.expr(
+        """case counter when 'click' then 'ALU Utilization' when 'view' then 'L2 Bandwidth'
+             when 'error' then if(trace_id % 4 = 0, '_bc236dcf3744edf6bcf329ae47088528b35ea5e0beac601cf6781545eb2327cc',
+                                  'Custom Bytes')
+             when 'signup' then 'Ray Occupancy' else 'Zebra' end"""
+    )
+    value = F.expr("if(counter = 'signup' and trace_id % 3 = 0, 0.0D, value)")
+    return base.withColumn("counter", name).withColumn("value", value)
+
+
+def counter_hash_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash-named series of parts: known hashes by part key, and unknown ones."""
+    known = (
+        "_bc236dcf3744edf6bcf329ae47088528b35ea5e0beac601cf6781545eb2327cc",
+        "_5c5c55d05fb355aa5be61ac63c88eb4a2a521a47dd8f79c18b5c1df163d5cb55",
+        "_28b593c4df5283c263b57e9a6d113d841094eb62c8e83c152a3d733a17af7b80",
+    )
+    names = F.array(*[F.lit(k) for k in known])
+    unknown = F.concat(F.lit("_"), F.sha2(F.col("p_partkey").cast("string"), 256))
+    pick = (F.col("p_partkey") % 5).cast("int")
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("trace_id"), F.when(pick < 3, F.get(names, pick)).otherwise(unknown).alias("hash")
+    )
+
+
+def elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements of one document per customer: the first order of a priority holds the content, others refer to it."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("node"), "o_orderpriority", "o_orderstatus"
+    )
+    firsts = orders.groupBy("trace_id", "o_orderpriority").agg(F.min("node").alias("first"))
+    joined = orders.join(firsts, ["trace_id", "o_orderpriority"])
+    own = F.col("node") == F.col("first")
+    # One in ten refers to an id that no element has; the first LOW refers on to the first URGENT, making chains.
+    chain = own & (F.col("o_orderpriority") == "5-LOW")
+    target = F.when(chain, F.lit("1-URGENT")).when(~own & (F.col("node") % 10 == 0), F.lit("missing"))
+    target = F.coalesce(target, F.when(~own, F.col("o_orderpriority")))
+    return joined.select(
+        "trace_id",
+        "node",
+        F.when(own, F.col("o_orderpriority")).alias("id"),
+        target.alias("ref"),
+        F.when(target.isNull(), F.concat("o_orderstatus", F.col("node").cast("string"))).alias("content"),
+    )
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Long cells of two generic tables: customers by nation, and suppliers."""
+    customers = table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("trace_id"),
+        F.lit("accounts").alias("schema"),
+        F.col("c_custkey").alias("row_no"),
+        F.array(
+            F.struct(F.lit("name").alias("m"), F.col("c_name").alias("t"), F.lit(None).cast("string").alias("f")),
+            F.struct(
+                F.lit("segment").alias("m"), F.lit("7").alias("t"),
+                F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("f"),
+            ),
+            F.struct(
+                F.lit("key").alias("m"),
+                F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey").cast("string")).alias("t"),
+                F.lit(None).cast("string").alias("f"),
+            ),
+        ).alias("row"),
+    )
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("trace_id"),
+        F.lit("vendors").alias("schema"),
+        F.col("s_suppkey").alias("row_no"),
+        F.array(
+            F.struct(F.lit("name").alias("m"), F.col("s_name").alias("t"), F.lit(None).cast("string").alias("f"))
+        ).alias("row"),
+    )
+    rows = customers.unionByName(suppliers)
+    return rows.select("trace_id", "schema", "row_no", F.posexplode("row").alias("position", "c")).select(
+        "trace_id", "schema", "row_no", "position", F.col("c.m").alias("mnemonic"),
+        F.when(F.col("c.t").isNull() & F.col("c.f").isNull(), "sentinel").otherwise("string").alias("tag"),
+        F.col("c.t").alias("text"), F.col("c.f").alias("fmt"),
+    )
+
+
+def byte_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Packed binary records of parts."""
+    packed = F.concat(F.col("p_brand"), F.lit("|"), F.col("p_type"), F.lit("|"), F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_size").alias("buffer_index"), F.encode(packed, "UTF-8").alias("record"))
