@@ -5,6 +5,8 @@ Counter categories in display order, the counter-hash dictionary and the call-id
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Display order of categories, and of counters within each.
@@ -154,11 +156,11 @@ def counter_hashes(spark: SparkSession) -> DataFrame:
     for line in COUNTER_HASHES.strip().splitlines():
         key, group, index, label, names, partition, select, source = line.split("|")
         derived = names.split(",") if names else []
-        rows.append((key, group, int(index), label, derived, int(partition), int(select), source))
+        rows.append((key, group, int(index), label, derived, int(partition), Decimal(select), source))
     return spark.createDataFrame(
         rows,
         "hash string, hw_group string, idx int, label string, vendor_names array<string>, hw_partition int, "
-        "hw_select bigint, source string",
+        "hw_select decimal(20,0), source string",
     )
 
 

@@ -304,7 +304,7 @@ def named_counters(spark: SparkSession, sf: str) -> DataFrame:
              when 'signup' then 'Ray Occupancy' else 'Zebra' end"""
     )
     value = F.expr("if(counter = 'signup' and trace_id % 3 = 0, 0.0D, value)")
-    return base.withColumn("counter", name).withColumn("value", value)
+    return base.withColumns({"value": value, "counter": name})
 
 
 def counter_hash_uses(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,3 +382,37 @@ def byte_records(spark: SparkSession, sf: str) -> DataFrame:
     """Packed binary records of parts."""
     packed = F.concat(F.col("p_brand"), F.lit("|"), F.col("p_type"), F.lit("|"), F.col("p_name"))
     return table(spark, sf, "part").select(F.col("p_size").alias("buffer_index"), F.encode(packed, "UTF-8").alias("record"))
+
+
+def table_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Table entries of a nation's recording: one per customer, named after the market segment."""
+    return table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("trace_id"),
+        F.col("c_custkey").alias("ord"),
+        F.col("c_mktsegment").alias("schema"),
+        F.create_map(F.lit("schema"), F.col("c_mktsegment"), F.lit("target-pid"), F.col("c_custkey").cast("string")).alias("attributes"),
+    )
+
+
+def trace_info(spark: SparkSession, sf: str) -> DataFrame:
+    """Recording facts from suppliers, some of them missing."""
+    missing = F.lit(None).cast("string")
+    return table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("trace_id"),
+        F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("device_name"),
+        *[missing.alias(c) for c in ("device_model", "os_version", "platform", "start_date", "end_date")],
+        F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("duration_seconds"),
+        *[missing.alias(c) for c in ("instruments_version", "template_name", "recording_mode", "end_reason")],
+        F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("target_process"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).alias("target_pid"),
+    )
+
+
+def trace_processes(spark: SparkSession, sf: str) -> DataFrame:
+    """Process entries: the parts of a size, some without a number or name, some listed twice."""
+    return table(spark, sf, "part").select(
+        F.col("p_size").cast("string").alias("trace_id"),
+        F.col("p_partkey").alias("ord"),
+        F.when(F.col("p_partkey") % 10 != 0, F.col("p_partkey") % 100).alias("pid"),
+        F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("name"),
+    )
