@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Display order of categories, and of counters within each.
 COUNTER_CATEGORIES = {
@@ -142,13 +145,23 @@ BARRIER_COLOR = "#e63946"
 GROUP_EDGE_COLOR = "#6c757d"
 
 
+CALL_IDS = tuple(int(line.split(" ", 1)[0]) for line in CALL_NAMES.strip().splitlines())
+
+
+def _local(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
+    """A plan-local relation: Spark knows its size and can fold it, unlike rows shipped through Python."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(schema)}
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(schema)), schema)
+
+
 def counter_catalog(spark: SparkSession) -> DataFrame:
     rows = [
         (name.strip(), category, rank, idx)
         for rank, (category, names) in enumerate(COUNTER_CATEGORIES.items())
         for idx, name in enumerate(names.split(";"))
     ]
-    return spark.createDataFrame(rows, "counter string, category string, cat_rank int, idx int")
+    return _local(spark, "counter string, category string, cat_rank int, idx int", rows)
 
 
 def counter_hashes(spark: SparkSession) -> DataFrame:
@@ -157,16 +170,13 @@ def counter_hashes(spark: SparkSession) -> DataFrame:
         key, group, index, label, names, partition, select, source = line.split("|")
         derived = names.split(",") if names else []
         rows.append((key, group, int(index), label, derived, int(partition), Decimal(select), source))
-    return spark.createDataFrame(
-        rows,
+    ddl = (
         "hash string, hw_group string, idx int, label string, vendor_names array<string>, hw_partition int, "
-        "hw_select decimal(20,0), source string",
+        "hw_select decimal(20,0), source string"
     )
+    return _local(spark, ddl, rows)
 
 
 def call_names(spark: SparkSession) -> DataFrame:
-    rows = []
-    for line in CALL_NAMES.strip().splitlines():
-        number, name = line.split(" ", 1)
-        rows.append((int(number), name))
-    return spark.createDataFrame(rows, "call_id int, call_name string")
+    rows = [(int(number), name) for number, name in (line.split(" ", 1) for line in CALL_NAMES.strip().splitlines())]
+    return _local(spark, "call_id int, call_name string", rows)

@@ -36,15 +36,14 @@ class CallState(NamedTuple):
 
 
 def known_calls(calls: DataFrame) -> DataFrame:
-    """Calls in the dictionary; others are dropped but keep their place in the index. 39 ids, safe to broadcast."""
-    names = F.broadcast(fixed_values.call_names(calls.sparkSession))
-    return calls.join(names, "call_id", "left_semi")
+    """Calls in the dictionary; others are dropped but keep their place in the index."""
+    return calls.filter(F.col("call_id").isin(*fixed_values.CALL_IDS))
 
 
 def unknown_calls(calls: DataFrame) -> DataFrame:
     """Call ids that the dictionary does not hold, with their number of calls per recording."""
-    names = F.broadcast(fixed_values.call_names(calls.sparkSession))
-    return calls.join(names, "call_id", "left_anti").groupBy("trace_id", "call_id").agg(F.count(F.lit(1)).alias("calls"))
+    unknown = calls.filter(~F.col("call_id").isin(*fixed_values.CALL_IDS))
+    return unknown.groupBy("trace_id", "call_id").agg(F.count(F.lit(1)).alias("calls"))
 
 
 def _is(*ids: int) -> Column:

@@ -72,11 +72,12 @@ def scan(
     last, last_before, next_after = dict(last or {}), dict(last_before or {}), dict(next_after or {})
     totals = {**sums, **sums_before}
     latest = {**last, **last_before}
-    base = df if chunk is None else df.withColumn("_chunk", chunk)
-    if bounded and chunk is None and "_chunk" not in df.columns:
-        base = df.withColumn("_chunk", F.lit(0).cast("bigint"))
-    for name, expr in {**totals, **latest, **next_after}.items():
-        base = base.withColumn(f"_in_{name}", expr)
+    inputs = {f"_in_{name}": expr for name, expr in {**totals, **latest, **next_after}.items()}
+    if chunk is not None:
+        inputs["_chunk"] = chunk
+    elif bounded and "_chunk" not in df.columns:
+        inputs["_chunk"] = F.lit(0).cast("bigint")
+    base = df.withColumns(inputs)
     part = [*keys, "_chunk"]
 
     whole = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -98,7 +99,7 @@ def scan(
     def at(name: str) -> Column:
         return F.when(F.col(f"_in_{name}").isNotNull(), F.col(order))
 
-    chunks = base.groupBy(*part).agg(
+    chunks = base.select(*part, order, *[c for c in inputs if c != "_chunk"]).groupBy(*part).agg(
         *[F.sum(f"_in_{n}").alias(f"_ch_{n}") for n in totals],
         *[F.max_by(F.col(f"_in_{n}"), at(n)).alias(f"_ch_{n}") for n in latest],
         *[F.min_by(F.col(f"_in_{n}"), at(n)).alias(f"_ch_{n}") for n in next_after],

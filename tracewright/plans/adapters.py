@@ -213,14 +213,14 @@ def dispatches(spark: SparkSession, sf: str) -> DataFrame:
     return numbered.drop("pos", "_chunk").withColumn("func_idx", F.col("dispatch_id") * 10)
 
 
-def bindings(spark: SparkSession, sf: str) -> DataFrame:
+def bindings(spark: SparkSession, sf: str, nodes: DataFrame | None = None) -> DataFrame:
     """Line numbers of an order are the buffer slots of its dispatch; one binding stays per slot."""
     slots = (
         table(spark, sf, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.max("l_suppkey").alias("supplier"), F.max(F.ascii("l_returnflag")).alias("flag"))
     )
-    nodes = dispatches(spark, sf).select("trace_id", "dispatch_id", "source_key")
+    nodes = (nodes or dispatches(spark, sf)).select("trace_id", "dispatch_id", "source_key")
     return slots.join(nodes, slots.l_orderkey == nodes.source_key).select(
         "trace_id",
         "dispatch_id",
@@ -231,9 +231,9 @@ def bindings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def barriers(spark: SparkSession, sf: str) -> DataFrame:
+def barriers(spark: SparkSession, sf: str, nodes: DataFrame | None = None) -> DataFrame:
     """A barrier follows every dispatch whose order key is divisible by seven."""
-    nodes = dispatches(spark, sf).filter("source_key % 7 = 0")
+    nodes = (nodes or dispatches(spark, sf)).filter("source_key % 7 = 0")
     return nodes.select(
         "trace_id",
         F.col("dispatch_id").alias("barrier_id"),
@@ -259,9 +259,9 @@ def timed_dispatches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def draw_times(spark: SparkSession, sf: str) -> DataFrame:
+def draw_times(spark: SparkSession, sf: str, nodes: DataFrame | None = None) -> DataFrame:
     """Draw records in capture order; some are outside the timeline, reversed or empty."""
-    nodes = dispatches(spark, sf)
+    nodes = nodes or dispatches(spark, sf)
     begin = F.expr("if(source_key % 13 = 0, 0, dispatch_id * 300000 + (source_key % 700) * 100)")
     length = F.expr(
         "case when source_key % 13 = 0 then 0 when source_key % 11 = 0 then -5 "

@@ -57,7 +57,7 @@ def table_query(spark, sf):
 
 def _parts(spark, sf):
     nodes = cut_lineage(adapters.dispatches(spark, sf))
-    bound = adapters.bindings(spark, sf).groupBy("trace_id", "dispatch_id").agg(F.count(F.lit(1)).alias("buffers"))
+    bound = adapters.bindings(spark, sf, nodes).groupBy("trace_id", "dispatch_id").agg(F.count(F.lit(1)).alias("buffers"))
     walls = nodes.filter("source_key % 7 = 0").select(
         "trace_id", F.col("dispatch_id").alias("barrier_id"), (F.col("func_idx") + 1).alias("func_idx"),
         F.expr("if(source_key % 2 = 0, 'buffers', 'resources')").alias("scope"), "encoder_idx", "cb_idx",
@@ -108,8 +108,9 @@ def counter_tracks(spark, sf):
 
 
 def _drawn(spark, sf, scale):
-    nodes, walls = cut_lineage(adapters.dispatches(spark, sf)), adapters.barriers(spark, sf)
-    bound = adapters.bindings(spark, sf)
+    nodes = cut_lineage(adapters.dispatches(spark, sf))
+    walls = adapters.barriers(spark, sf, nodes)
+    bound = cut_lineage(adapters.bindings(spark, sf, nodes))
     edges = graph.build_dep_graph(nodes, bound, walls, reduce=False).edges
     return export.graph_elements(nodes, cut_lineage(edges), walls, bound, scale)
 

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 from tracewright.operators import calls, counters, graph, quality, schedule
 from tracewright.plans import adapters
 from tracewright.plans.queries import query
+from tracewright.session import cut_lineage
 
 # Call log
 
 
+def _log(spark, sf):
+    """The call log as a stored table, as it would be in use, rather than an expression evaluated at every read."""
+    return cut_lineage(adapters.api_calls(spark, sf))
+
+
 def _rows(spark, sf):
-    return calls.call_rows(adapters.api_calls(spark, sf), adapters.gpu_resources(spark, sf))
+    return calls.call_rows(_log(spark, sf), adapters.gpu_resources(spark, sf))
 
 
 def _state(spark, sf):
-    return calls.read_calls(adapters.api_calls(spark, sf), adapters.gpu_resources(spark, sf))
+    return calls.read_calls(_log(spark, sf), adapters.gpu_resources(spark, sf))
 
 
 @query
@@ -26,7 +32,7 @@ def bound_kernel(spark, sf):
 
 @query
 def kernel_sets(spark, sf):
-    known = calls.known_calls(adapters.api_calls(spark, sf))
+    known = calls.known_calls(_log(spark, sf))
     return calls.pipeline_sets(known, adapters.gpu_resources(spark, sf))
 
 
@@ -94,7 +100,8 @@ def kernel_summary(spark, sf):
 
 @query
 def gpu_overview(spark, sf):
-    return calls.gpu_overview(adapters.api_calls(spark, sf), _state(spark, sf))
+    log = _log(spark, sf)
+    return calls.gpu_overview(log, calls.read_calls(log, adapters.gpu_resources(spark, sf)))
 
 
 @query
@@ -111,38 +118,37 @@ def unknown_calls(spark, sf):
 # Dependency graph
 
 
-def _hazards(spark, sf):
-    return graph.hazard_edges(adapters.bindings(spark, sf))
+def _capture(spark, sf):
+    """Dispatches, bindings and barriers as stored tables."""
+    nodes = cut_lineage(adapters.dispatches(spark, sf))
+    return nodes, cut_lineage(adapters.bindings(spark, sf, nodes)), adapters.barriers(spark, sf, nodes)
 
 
 def _graph(spark, sf, mode="conservative", reduce=False):
-    from tracewright.session import cut_lineage
-
-    nodes = cut_lineage(adapters.dispatches(spark, sf))
-    walls = adapters.barriers(spark, sf)
-    built = graph.build_dep_graph(nodes, adapters.bindings(spark, sf), walls, mode, reduce)
+    nodes, bound, walls = _capture(spark, sf)
+    built = graph.build_dep_graph(nodes, bound, walls, mode, reduce)
     return nodes, walls, cut_lineage(built.edges)
 
 
 @query
 def dep_edges_shared(spark, sf):
-    return graph.shared_edges(adapters.bindings(spark, sf))
+    return graph.shared_edges(_capture(spark, sf)[1])
 
 
 @query
 def dep_edges_hazard(spark, sf):
-    return _hazards(spark, sf)
+    return graph.hazard_edges(_capture(spark, sf)[1])
 
 
 @query
 def dep_edges_barrier(spark, sf):
-    shared = graph.shared_edges(adapters.bindings(spark, sf))
-    return graph.barrier_edges(adapters.dispatches(spark, sf), adapters.barriers(spark, sf), shared)
+    nodes, bound, walls = _capture(spark, sf)
+    return graph.barrier_edges(nodes, walls, graph.shared_edges(bound))
 
 
 @query
 def dep_reduced(spark, sf):
-    return graph.transitive_reduction(_hazards(spark, sf))
+    return graph.transitive_reduction(graph.hazard_edges(_capture(spark, sf)[1]))
 
 
 @query
@@ -153,15 +159,15 @@ def dep_graph(spark, sf):
 
 @query
 def dep_critical_path(spark, sf):
-    facts = graph.path_facts(adapters.dispatches(spark, sf), _hazards(spark, sf))
-    return facts.select("trace_id", "critical_path_length")
+    nodes, bound, _ = _capture(spark, sf)
+    return graph.path_facts(nodes, graph.hazard_edges(bound)).select("trace_id", "critical_path_length")
 
 
 @query
 def dep_is_dag(spark, sf):
     """Self-edges kept: a dispatch that binds one buffer twice makes its recording cyclic."""
-    edges = graph.hazard_edges(adapters.bindings(spark, sf), keep_self=True)
-    return graph.path_facts(adapters.dispatches(spark, sf), edges).select("trace_id", "is_dag")
+    nodes, bound, _ = _capture(spark, sf)
+    return graph.path_facts(nodes, graph.hazard_edges(bound, keep_self=True)).select("trace_id", "is_dag")
 
 
 @query
@@ -197,9 +203,8 @@ def connected_dispatches(spark, sf):
 @query
 def scoped_graph(spark, sf):
     """Only one kernel's dispatches: edges skip the dispatches that were filtered out."""
-    report = graph.dependency_report(
-        adapters.dispatches(spark, sf), adapters.bindings(spark, sf), adapters.barriers(spark, sf), kernel="[12]-*"
-    )
+    nodes, bound, walls = _capture(spark, sf)
+    report = graph.dependency_report(nodes, bound, walls, kernel="[12]-*")
     return report["summary"].select("trace_id", "total_dispatches", "total_edges", "critical_path_length")
 
 
@@ -242,8 +247,6 @@ def rollup_kernel_nodes(spark, sf):
 
 
 def _schedule(spark, sf):
-    from tracewright.session import cut_lineage
-
     timed = cut_lineage(adapters.timed_dispatches(spark, sf))
     ends = timed.groupBy("trace_id").agg(F.max("ts_end_ns").alias("timeline_end_ns"))
     facts = ends.withColumn("gpu_time_ns", F.expr("timeline_end_ns * (80 + trace_id % 20) div 100"))
@@ -252,7 +255,8 @@ def _schedule(spark, sf):
 
 @query
 def align_times(spark, sf):
-    return schedule.align_times(adapters.dispatches(spark, sf), adapters.draw_times(spark, sf), F.lit(100_000_000))
+    nodes = cut_lineage(adapters.dispatches(spark, sf))
+    return schedule.align_times(nodes, adapters.draw_times(spark, sf, nodes), F.lit(100_000_000))
 
 
 @query
