@@ -67,7 +67,7 @@ def resample_nearest(source: DataFrame, axis: DataFrame) -> DataFrame:
     key = ["trace_id", "counter"]
     seen = F.when(F.col("value").isNotNull(), F.struct("ts_ns", "value"))
     around = scan(
-        time_chunk(merged, key, "ts_ns", levels=1), key, "pos", last_before={"left": seen}, next_after={"right": seen}
+        time_chunk(merged, key, "ts_ns"), key, "pos", last_before={"left": seen}, next_after={"right": seen}
     )
     to_left = F.col("ts_ns") - F.col("left.ts_ns")
     to_right = F.col("right.ts_ns") - F.col("ts_ns")

@@ -271,10 +271,10 @@ def _length_rows(rows: list[tuple]) -> pd.DataFrame:
 
 def _longest_ordered(pairs: DataFrame, block: int) -> DataFrame:
     """Longest path per recording for graphs whose ids are in topological order, one sweep over id blocks."""
-    last = pairs.agg(F.max(F.expr(f"src div {block}"))).first()[0]
+    last = pairs.agg(F.max(F.expr(f"src div {block}"))).first()[0] or 0
     results: list[DataFrame] = []
     carried: DataFrame | None = None
-    for number in range(0 if last is None else last + 1):
+    for number in range(last + 1):
         inside = pairs.filter((F.col("src") >= number * block) & (F.col("src") < (number + 1) * block))
         rows = inside.select(
             *_PAIR, F.lit(-1).cast("bigint").alias("length"), (F.col("tgt") >= (number + 1) * block).alias("leaves")
@@ -338,6 +338,24 @@ def path_facts(dispatches: DataFrame, edges: DataFrame, block: int = BLOCK) -> D
     )
 
 
+def is_dag(dispatches: DataFrame, edges: DataFrame) -> DataFrame:
+    """Whether each recording's graph has no cycle.
+
+    Edges that all point to larger ids cannot close a cycle, and a self-edge is one; only the rest is peeled.
+    """
+    shape = edges.groupBy("trace_id").agg(
+        F.max(F.col("src") == F.col("tgt")).alias("loops"), F.min(F.col("src") < F.col("tgt")).alias("rising")
+    )
+    shape = cut_lineage(shape)
+    unclear = shape.filter("not loops and not rising")
+    facts = shape.filter("loops or rising").select("trace_id", (~F.col("loops")).alias("is_dag"))
+    if not unclear.isEmpty():
+        pairs = cut_lineage(edges.join(unclear, "trace_id", "left_semi").select(*_PAIR).distinct())
+        facts = facts.unionByName(_peel(pairs).select("trace_id", "is_dag"))
+    traces = dispatches.select("trace_id").distinct()
+    return traces.join(facts, "trace_id", "left").select("trace_id", F.coalesce("is_dag", F.lit(True)).alias("is_dag"))
+
+
 def build_dep_graph(
     dispatches: DataFrame,
     bindings: DataFrame,

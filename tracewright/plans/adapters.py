@@ -209,7 +209,7 @@ def dispatches(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("if(o_orderkey % 9 < 3, null, array(32, 1, 1))").alias("threads_per_tg"),
         F.expr("cast(floor(o_totalprice) as bigint)").alias("price_ns"),
     )
-    numbered = number_rows(time_chunk(orders, ["trace_id"], "pos", levels=1), ["trace_id"], "pos", "dispatch_id")
+    numbered = number_rows(time_chunk(orders, ["trace_id"], "pos"), ["trace_id"], "pos", "dispatch_id")
     return numbered.drop("pos", "_chunk").withColumn("func_idx", F.col("dispatch_id") * 10)
 
 

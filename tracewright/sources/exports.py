@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -56,9 +57,13 @@ def _parse_fragment(fragment: str) -> dict:
     return {"rows": rows, "nodes": len(re.findall(r"<node(?=[\s>])", fragment)), "elements": elements}
 
 
-@F.pandas_udf(_FRAGMENT)
-def _fragments(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse_fragment(v) for v in values], columns=["rows", "nodes", "elements"])
+def _parsed(parse: Callable[[str], dict], ddl: str) -> Column:
+    """The ``value`` column parsed text by text, in Arrow batches."""
+
+    def batch(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(v) for v in values])
+
+    return F.pandas_udf(batch, ddl)(F.col("value"))
 
 
 def _parse_header(fragment: str) -> dict:
@@ -69,11 +74,6 @@ def _parse_header(fragment: str) -> dict:
     return {"schema": root.get("name", ""), "columns": columns}
 
 
-@F.pandas_udf(_HEADER)
-def _headers(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse_header(v) for v in values], columns=["schema", "columns"])
-
-
 def recording_of(path: Column) -> Column:
     """Default recording id: the folder that holds the file."""
     return F.element_at(F.split(path, "/"), -2)
@@ -88,13 +88,13 @@ def read_exports(spark: SparkSession, paths: str | list[str], recording: Column
         F.monotonically_increasing_id().alias("_line"),
         "value",
     )
-    headers = lines.filter(F.col("value").contains("<schema")).withColumn("h", _headers("value"))
+    headers = lines.filter(F.col("value").contains("<schema")).withColumn("h", _parsed(_parse_header, _HEADER))
     # The first table of a file is the one that is read.
     first = headers.groupBy("doc").agg(F.min_by("h", F.struct("_chunk", "_line")).alias("h"))
     trace = recording_of(F.col("doc")) if recording is None else recording
     first = cut_lineage(first.select("doc", trace.cast("string").alias("trace_id"), F.col("h.schema").alias("schema"), "h.columns"))
 
-    parsed = cut_lineage(lines.select("doc", "_chunk", "_line", _fragments("value").alias("f")))
+    parsed = cut_lineage(lines.select("doc", "_chunk", "_line", _parsed(_parse_fragment, _FRAGMENT).alias("f")))
     # Row numbers run over the whole file: a block of the file is a chunk, lines keep their order inside it.
     numbered = scan(
         parsed, ["doc"], "_line", sums={"_rows": F.col("f.rows"), "node_no": F.col("f.nodes")}
@@ -286,11 +286,6 @@ def _parse_toc(document: str) -> dict:
     }
 
 
-@F.pandas_udf(_TOC)
-def _tocs(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse_toc(v) for v in values], columns=["info", "tables", "processes"])
-
-
 class Contents(NamedTuple):
     info: DataFrame
     tables: DataFrame
@@ -299,9 +294,9 @@ class Contents(NamedTuple):
 
 def read_contents(spark: SparkSession, paths: str | list[str], recording: Column | None = None) -> Contents:
     """Read tables of contents: one short document per recording."""
-    docs = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("doc"), "value")
+    docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
     trace = recording_of(F.col("doc")) if recording is None else recording
-    docs = cut_lineage(docs.select(trace.cast("string").alias("trace_id"), _tocs("value").alias("t")).select("trace_id", "t.*"))
+    docs = cut_lineage(docs.select(trace.cast("string").alias("trace_id"), _parsed(_parse_toc, _TOC).alias("t")).select("trace_id", "t.*"))
 
     def fact(key: str) -> Column:
         return F.coalesce(F.col("info")[key], F.lit(""))
