@@ -33,6 +33,15 @@ def processes(df: DataFrame, distinct: bool = False) -> DataFrame:
     return filled.select("trace_id", "pid", "name").distinct() if distinct else filled
 
 
+def open_trace(info: DataFrame, tables: DataFrame, entries: DataFrame) -> DataFrame:
+    """Recording facts with the names of its tables and the number of its process entries."""
+    # A table of contents is short: one list per recording.
+    named = tables.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ord", "schema"))).alias("_t"))
+    named = named.select("trace_id", F.transform("_t", lambda t: t["schema"]).alias("tables"))
+    counted = entries.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_processes"))
+    return trace_info(info).join(named, "trace_id", "left").join(counted, "trace_id", "left")
+
+
 def expand_refs(
     elements: DataFrame, keys: list[str], content: list[str], id_column: str = "id", ref_column: str = "ref", hops: int = 3
 ) -> DataFrame:

@@ -7,7 +7,7 @@ any iteration over the whole graph. Graphs with other id orders take the general
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -119,41 +119,52 @@ def barrier_edges(dispatches: DataFrame, barriers: DataFrame, edges: DataFrame)
     )
 
 
-def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive groups of a sorted partition; only the group that reaches over a batch border is held back."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        groups = [(key, group) for key, group in batch.groupby(keys, sort=False)]
-        held = groups.pop()[1] if groups else None
-        yield from groups
-    if held is not None and len(held):
-        yield tuple(held.iloc[0][keys]), held
-
-
-def _reduce_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges of a tile that another path replaces. Rows: trace_id, tile, src, tgt, judged; sources descend."""
-    for _, rows in _grouped(batches, ["trace_id", "tile"]):
+def _python_tasks(df: DataFrame) -> int:
+    """Tasks for a shuffle whose reducers run Python; a stated number is kept, where sizes in bytes would merge them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _tile_reducer(half: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Edges of a tile that another path replaces, from rows sorted by recording, tile and descending source.
+
+    Reach sets are bit patterns over the ids of one tile; only those of the current tile are held.
+    """
+
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: tuple[int, int] | None = None
+        source, targets = -1, []
         reach: dict[int, int] = {}
-        low = int(rows["src"].min())
-        found = []
-        targets: list[tuple[int, bool]] = []
-        trace, src_list = rows["trace_id"].tolist(), rows["src"].tolist()
-        edges = list(zip(src_list, rows["tgt"].tolist(), rows["judged"].tolist(), strict=True))
-        for i, (src, tgt, judged) in enumerate(edges):
-            targets.append((tgt - low, judged))
-            if i + 1 < len(edges) and edges[i + 1][0] == src:
-                continue
-            behind, direct = 0, 0
-            for node, _judged in targets:
+        found: list[tuple[int, int, int]] = []
+
+        def settle() -> None:
+            behind = direct = 0
+            for node, _ in targets:
                 behind |= reach.get(node, 0)
                 direct |= 1 << node
-            found.extend((trace[i], src, node + low) for node, mine in targets if mine and behind >> node & 1)
-            reach[src - low] = behind | direct
-            targets = []
-        if found:
-            yield pd.DataFrame(found, columns=_PAIR)
+            trace, tile = group
+            base = tile * half
+            found.extend((trace, source, node + base) for node, judged in targets if judged and behind >> node & 1)
+            reach[source - base] = behind | direct
+
+        for batch in batches:
+            columns = (batch[c].tolist() for c in ("trace_id", "tile", "src", "tgt", "judged"))
+            for trace, tile, src, tgt, judged in zip(*columns, strict=True):
+                if group != (trace, tile) or src != source:
+                    if targets:
+                        settle()
+                    if group != (trace, tile):
+                        group, reach = (trace, tile), {}
+                    source, targets = src, []
+                targets.append((tgt - tile * half, judged))
+            if found:
+                yield pd.DataFrame(found, columns=_PAIR)
+                found = []
+        if targets:
+            settle()
+            if found:
+                yield pd.DataFrame(found, columns=_PAIR)
+
+    return reduce_rows
 
 
 def _closure(starts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -199,8 +210,9 @@ def redundant_pairs(pairs: DataFrame, tile: int = TILE) -> DataFrame:
         lambda t: (t["tile"] >= 0) & (F.col("tgt") < (t["tile"] + 2) * half),
     )
     tiled = tiled.select(*_PAIR, F.explode(spans).alias("t")).select(*_PAIR, "t.tile", "t.judged")
-    sorted_tiles = tiled.repartition("trace_id", "tile").sortWithinPartitions("trace_id", "tile", F.col("src").desc())
-    found = sorted_tiles.mapInPandas(_reduce_tiles, "trace_id bigint, src bigint, tgt bigint")
+    tasks = _python_tasks(pairs)
+    sorted_tiles = tiled.repartition(tasks, "trace_id", "tile").sortWithinPartitions("trace_id", "tile", F.col("src").desc())
+    found = sorted_tiles.mapInPandas(_tile_reducer(half), "trace_id bigint, src bigint, tgt bigint")
 
     far = cut_lineage(ordered.filter(F.col("tgt") - F.col("src") > half))
     if not far.isEmpty():
@@ -285,7 +297,7 @@ def _longest_ordered(pairs: DataFrame, block: int) -> DataFrame:
                 "trace_id", F.col("node").alias("src"), F.lit(None).cast("bigint").alias("tgt"), "length", F.lit(False).alias("leaves")
             )
             rows = rows.unionByName(known)
-        swept = rows.repartition("trace_id").sortWithinPartitions("trace_id", "src", F.col("length").desc())
+        swept = rows.repartition(_python_tasks(pairs), "trace_id").sortWithinPartitions("trace_id", "src", F.col("length").desc())
         swept = swept.mapInPandas(_longest_in_block, "trace_id bigint, node bigint, length bigint")
         if number < last:
             swept = cut_lineage(swept)

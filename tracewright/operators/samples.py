@@ -41,6 +41,12 @@ def first_rows_per_trace(df: DataFrame, order: list[str], limit: int) -> DataFra
     return df.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
+def first_rows_with_total(df: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first rows of every recording beside ``total``, its number of rows before the limit."""
+    totals = df.groupBy("trace_id").agg(F.count(F.lit(1)).alias("total"))
+    return first_rows_per_trace(df, order, limit).join(totals, "trace_id")
+
+
 def cpu_samples(
     df: DataFrame, start_ns: int | None = None, end_ns: int | None = None, limit: int | None = None
 ) -> DataFrame:

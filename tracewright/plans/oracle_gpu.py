@@ -148,6 +148,9 @@ FROM (SELECT trace_id,
         (SELECT count(*) FROM cbs c WHERE c.trace_id = ev.trace_id AND c.nd > 0) AS nc,
         (SELECT count(*) FROM closed e WHERE e.trace_id = ev.trace_id) AS ne FROM ev)
 GROUP BY ALL"""
+ORACLE["small_groups"] = _W + """
+SELECT trace_id, encoder_idx, nd AS num_dispatches FROM closed
+WHERE trace_id IN (SELECT trace_id FROM closed GROUP BY trace_id HAVING count(*) <= 8)"""
 ORACLE["gpu_timeline"] = _W + ", " + KERNELS + """,
 e AS (SELECT w.trace_id, w.func_idx, CASE w.kind WHEN 'D' THEN 'dispatch' ELSE 'barrier' END AS type, enc, dk.kernel
       FROM walk w LEFT JOIN dk ON dk.trace_id = w.trace_id AND dk.func_idx = w.func_idx WHERE w.kind IN ('D', 'B')

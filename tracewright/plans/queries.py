@@ -64,6 +64,19 @@ def cpu_samples_first(spark, sf):
     return first.select("trace_id", "row_no", "time_ns", "leaf")
 
 
+@query
+def cpu_samples_total(spark, sf):
+    first = samples.first_rows_with_total(adapters.cpu_samples(spark, sf), ["row_no"], 3)
+    return first.select("trace_id", "row_no", "total")
+
+
+@query
+def first_signposts(spark, sf):
+    """Offset and limit over the file order of all recordings."""
+    events = adapters.signpost_events(spark, sf)
+    return samples.first_rows(events, ["row_no"], 50, 100).select("trace_id", "row_no", "name")
+
+
 @query
 def hangs(spark, sf):
     return samples.hangs(adapters.hangs(spark, sf)).drop("pid", "process_name", "tid")

@@ -104,6 +104,12 @@ def gpu_overview(spark, sf):
     return calls.gpu_overview(log, calls.read_calls(log, adapters.gpu_resources(spark, sf)))
 
 
+@query
+def small_groups(spark, sf):
+    """Encoders of recordings that have few of them, as the overview lists them."""
+    return calls.small_groups(_state(spark, sf).encoders, most=8).select("trace_id", "encoder_idx", "num_dispatches")
+
+
 @query
 def gpu_timeline(spark, sf):
     found = calls.gpu_timeline(_state(spark, sf), kernel="kern[0-4]", encoder=1, limit=6, offset=1)
