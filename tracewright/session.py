@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,21 @@ def build_session(master: str | None = None, app: str = "tracewright", **conf: s
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they start; once per session, nothing if their path has it."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) in known or getattr(context, "_tracewright_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tracewright-package-")) / "tracewright.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "tracewright").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._tracewright_shipped = True
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -39,6 +57,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one in local sessions."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and continue from there."""
     _ensure_checkpoint_dir(df.sparkSession)
