@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, pii
+from tracewright.llm import decontaminate, pii, quality, simhash
 from tracewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(function):
     return function
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    return simhash.report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality(spark, sf_dir):
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_pii(spark, sf_dir):
     return pii.digests(pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
