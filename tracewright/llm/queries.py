@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, pii, quality, simhash
+from tracewright.llm import bpe, decontaminate, language, pii, quality, simhash
 from tracewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,23 @@ def op1_simhash(spark, sf_dir):
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The public byte-level vocabulary of the check; any other path can be given to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    return bpe.encode(read(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
+@query
+def op4_language(spark, sf_dir):
+    return language.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality(spark, sf_dir):
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
