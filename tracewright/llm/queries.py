@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, decontaminate, embeddings, language, pii, quality, simhash
+from tracewright.llm import bpe, decontaminate, embeddings, html, language, pii, quality, sharding, simhash, token_counts
 from tracewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Bytes of text a shard may hold.
+SHARD_BYTES = 64 << 20
 
 
 def query(function):
@@ -23,6 +25,11 @@ def op1_simhash(spark, sf_dir):
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_sharding(spark, sf_dir):
+    return sharding.assign(read(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def vocabulary() -> str:
     """The public byte-level vocabulary of the check; any other path can be given to the operators."""
     import public_tokenizers
@@ -40,11 +47,24 @@ def op4_language(spark, sf_dir):
     return language.report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_html(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op6_quality(spark, sf_dir):
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op7_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts.by_section(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query
 def op8_embeddings(spark, sf_dir):
     return embeddings.near_copies(read(spark, sf_dir, "embeddings"))
@@ -85,3 +105,17 @@ reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, p.b FROM
 c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, lpad(bin(('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT), 60, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n_bytes, bits, unnest(range(0, 61)) AS d FROM r),
+b AS (SELECT bits[1:d] AS bucket, sum(n_bytes)::BIGINT AS bytes, count(*) AS n FROM p GROUP BY bucket),
+fit AS (SELECT p.doc_id, p.n_bytes, p.d, b.bucket, b.bytes, b.n FROM p JOIN b ON b.bucket = p.bits[1:p.d] WHERE b.bytes <= {limit} OR b.n = 1)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, min_by(bucket, d) AS shard, min(d)::INT AS depth, min_by(bytes, d) AS shard_bytes, min_by(n, d)::BIGINT AS shard_rows
+FROM fit GROUP BY doc_id, n_bytes"""
+
+
+ORACLE["op2_sharding"] = sharding_sql(SHARD_BYTES)
