@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.session import cut_lineage as stored
 from tracewright.session import shared_folder, ship_package
 
-__all__ = ["arrays", "batches", "components", "crc_remainder", "read", "running_hash", "shared_folder", "span_hashes", "stored", "text_blocks", "uniform"]
+__all__ = ["arrays", "components", "crc_remainder", "free_name", "read", "running_hash", "shared_folder", "span_hashes", "stored", "text_blocks", "uniform"]
 
 #: Texts are handled in blocks of about this many characters, so that numpy works on cache-sized arrays.
 BLOCK_CHARS = 1 << 19
@@ -26,6 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of the column's text, modulo ``modulus``; null for null."""
     column = F.col(column) if isinstance(column, str) else column
@@ -63,17 +70,6 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(roots)
 
 
-def batches(function, **options):
-    """Adapt ``function(batch) -> dict of columns`` to mapInArrow."""
-
-    def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows:
-                yield from function(batch, **options)
-
-    return run
-
-
 def text_blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of consecutive rows with about ``limit`` characters together; null counts as empty."""
     start, held, size = 0, [], 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrays, running_hash, span_hashes, stored, text_blocks
+from tracewright.llm.common import arrays, free_name, running_hash, span_hashes, stored, text_blocks
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Lower-cased byte, or 0 for bytes outside words.
@@ -219,5 +219,7 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) ->
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item; rows and columns are otherwise unchanged."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    bad = contamination(docs.select(digest.alias("digest"), "text"), items, "digest", **options).where("n_hit > 0").select("digest").distinct()
-    return docs.join(bad, digest == F.col("digest"), "left_anti")
+    name = free_name(docs, "digest")
+    found = contamination(docs.select(digest.alias(name), "text"), items, name, **options)
+    bad = found.where("n_hit > 0").select(name).distinct()
+    return docs.withColumn(name, digest).join(bad, name, "left_anti").select(*docs.columns)

@@ -146,6 +146,9 @@ LABELLED = [
     (1, 0.0, 4, 0.0, 30, 0.0, 0, 1, 1), (1, 0.0, 2, 0.0, 8, 0.0, 0, 1, 1), (40, 0.0, 100, 0.0, 7, 0.0, 0, 1, 1), (3, 0.0, 60, 0.0, 9, 0.0, 0, 1, 1),
     (70, 0.2, 80, 0.0, 50, 0.1, 0, 1, 1), (12, 0.4, 60, 0.0, 60, 0.0, 0, 1, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (4, 0.0, 0, 0.0, 12, 0.0, 0, 1, 1),
     (25, 0.0, 1, 1.0, 40, 0.0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (5, 1.0, 90, 0.0, 85, 0.0, 0, 1, 1), (8, 0.0, 30, 0.1, 0, 0.0, 0, 1, 1),
+    # a marked article next to menus, lists of links and page ends
+    (2, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1), (5, 0.0, 1, 1.0, 8, 0.0, 0, 1, 1), (3, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1), (1, 0.0, 3, 1.0, 1, 1.0, 0, 1, 1),
+    (40, 0.0, 60, 0.0, 3, 1.0, 0, 1, 1), (2, 0.0, 30, 0.0, 1, 1.0, 0, 1, 1), (7, 0.0, 1, 1.0, 0, 0.0, 0, 1, 1), (12, 0.0, 4, 1.0, 6, 0.2, 0, 1, 1),
     # pages without marks: long text with few links, short text between long text, headings over text
     (60, 0.0, 5, 0.0, 80, 0.0, 0, 0, 1), (45, 0.1, 3, 1.0, 50, 0.0, 0, 0, 1), (90, 0.05, 70, 0.0, 4, 1.0, 0, 0, 1), (25, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1),
     (6, 0.0, 70, 0.0, 65, 0.0, 0, 0, 1), (3, 0.0, 50, 0.0, 90, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1), (150, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),

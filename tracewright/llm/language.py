@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     def run(source):
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
-        for batch in source:
+        for batch in filter(len, source):
             best, score = [], []
             for _, block in text_blocks(batch.column("text").to_pylist()):
                 if not model.languages:

@@ -157,14 +157,13 @@ def _joined(spans) -> str:
     return ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans)
 
 
-def scan(docs: DataFrame, text: str = "text", threshold: float = 0.6, redact: bool = False) -> DataFrame:
-    """``docs`` with ``pii_spans``: array of (kind, start, end, score) in code points, end exclusive.
+def scan(docs: DataFrame, text: str = "text", threshold: float = 0.6, redact: bool = False, into: str = "pii_spans") -> DataFrame:
+    """``docs`` with ``into``: array of (kind, start, end, score) in code points, end exclusive; replaces such a column.
 
     With ``redact`` the text column holds the text with its spans replaced.
     """
-    if "pii_spans" in docs.columns:
-        docs = docs.drop("pii_spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii_spans", T._parse_datatype_string(SPANS))])
+    docs = docs.drop(into)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(SPANS))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(source):
@@ -174,7 +173,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = 0.6, redact: bo
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             if redact:
                 columns[text] = pa.array([redacted(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string())
-            columns["pii_spans"] = pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans] for spans in found], kind)
+            columns[into] = pa.array([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans] for spans in found], kind)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.mapInArrow(run, schema)
