@@ -61,7 +61,7 @@ def op6_quality(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return token_counts.by_section(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 

@@ -1,8 +1,8 @@
 """Token counts of sections by offset-mapped attribution.
 
 Every document is encoded once and whole. The lengths of its tokens give each token's character span, and the spans are
-interval-joined to the sections by binary search over the section starts. A section is a line with the break that ends
-it, so the sections of a text lie side by side and every token is counted exactly once. A token that crosses a border
+interval-joined to the sections by binary search over the section starts. Unless told otherwise, a section is a line with the break that
+ends it, so the sections of a text lie side by side and every token is counted exactly once. A token that crosses a border
 goes to the section that holds most of its characters; of equal shares the earliest wins. A token that holds only part
 of a character spans that whole character.
 
@@ -13,6 +13,7 @@ documents repeat their rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -64,8 +65,11 @@ def allocate(start: np.ndarray, end: np.ndarray, sections: np.ndarray, length: i
     return out, first != last
 
 
-def by_section(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """(key, section, start, n_chars, n_tokens, n_crossing): one row per section, numbered from 0 in text order."""
+def by_section(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", starts: Callable[[str], np.ndarray] = line_starts) -> DataFrame:
+    """(key, section, start, n_chars, n_tokens, n_crossing): one row per section, numbered from 0 in text order.
+
+    ``starts`` gives the rising character positions at which the sections of a non-empty text start, 0 first.
+    """
     source = docs.select(key, "text")
 
     def run(source):
@@ -75,7 +79,7 @@ def by_section(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
             for row, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
-                sections = line_starts(text)
+                sections = starts(text)
                 owner, crossing = allocate(*token_spans(text, sizes[np.array(encoding.encode_ordinary(text))]), sections, len(text))
                 parts["row"].append(np.full(len(sections), row))
                 parts["section"].append(np.arange(len(sections)))
