@@ -80,7 +80,7 @@ class Encoder:
         self._size = 0
 
     def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
 
     def _chunk(self, data: bytes) -> tuple[str, int, int, list[int]]:
         """(text, first, last, ids): ids of the text between its first and last agreed places; -1 if it has none."""
