@@ -108,9 +108,11 @@ def test_fixed_tables(spark):
 
 
 def test_byte_profile(spark):
-    records = [(0, bytearray(b"ab")), (0, bytearray(b"ac")), (0, bytearray(b"ac")), (1, bytearray(b"zz"))]
+    records = [(0, bytearray(b"ab")), (0, bytearray(b"ac")), (0, bytearray(b"ac")), (1, bytearray(b"zz")), (0, bytearray(b"")), (2, bytearray(b"x" * 100 + b"a")), (2, bytearray(b"x" * 100 + b"b"))]
     got = quality.byte_profile(spark.createDataFrame(records, "g int, record binary"), "g").collect()
-    assert sorted((r.g, r.offset, r.distinct_values, r["rank"], r.byte, r.n) for r in got) == [
-        (0, 1, 2, 1, "0x63", 2),
-        (0, 1, 2, 2, "0x62", 1),
+    assert sorted((r.g, r.records, r.offset, r.distinct_values, r["rank"], r.byte, r.n) for r in got) == [
+        (0, 3, 1, 2, 1, "0x63", 2),
+        (0, 3, 1, 2, 2, "0x62", 1),
+        (2, 2, 100, 2, 1, "0x61", 1),
+        (2, 2, 100, 2, 2, "0x62", 1),
     ]

@@ -83,7 +83,8 @@ def test_generic_table_query(loaded):
     cells = exports.table_cells(loaded)
     got = catalog.query_table(cells, "potential-hangs", limit=1).collect()
     assert [(r.row_no, r.total_rows, r.row["start"], r.row["hang-type"]) for r in got] == [(0, 2, "1500", "Severe Hang")]
-    assert catalog.query_table(cells, "absent").isEmpty()
+    with pytest.raises(ValueError, match="potential-hangs, time-profile"):
+        catalog.query_table(cells, "absent")
     assert {(r.trace_id, r.schema) for r in catalog.available_tables(cells).collect()} == {
         ("r1", "time-profile"), ("r2", "time-profile"), ("r1", "potential-hangs"),
     }
@@ -109,6 +110,22 @@ def test_chains_of_references(spark):
     assert got == {0: "text", 1: "text", 2: "text", 3: "text", 4: None}
 
 
+def test_long_chains_and_circles(spark):
+    rows = [(1, i, f"n{i}", f"n{i - 1}" if i else None, None if i else "text") for i in range(60)]
+    rows += [(2, 0, "a", "b", None), (2, 1, "b", "a", None), (2, 2, None, "a", None)]
+    df = spark.createDataFrame(rows, "doc int, n int, id string, ref string, content string")
+    got = {(r.doc, r.n): r.content for r in catalog.expand_refs(df, ["doc"], ["content"]).collect()}
+    assert got == {**{(1, i): "text" for i in range(60)}, **{(2, i): None for i in range(3)}}
+
+
+def test_cells_without_header_and_equal_names(spark):
+    rows = [("r", "t", 0, 0, "a", "x"), ("r", "t", 0, 1, None, "y"), ("r", "t", 0, 2, "a", "z"), ("r", "t", 1, 0, None, "w")]
+    cells = spark.createDataFrame([(*row, None) for row in rows], "trace_id string, schema string, row_no long, position int, mnemonic string, text string, fmt string")
+    got = {r.row_no: (r.row, r.total_rows, r.returned_rows) for r in catalog.query_table(cells, "t").collect()}
+    assert got == {0: ({"a": "x"}, 2, 2), 1: (None, 2, 2)}
+    assert [r.row_no for r in catalog.query_table(cells, "t", limit=1).collect()] == [0]
+
+
 def test_table_of_contents(spark, tmp_path):
     (tmp_path / "r9").mkdir()
     (tmp_path / "r9" / "toc.xml").write_text(
@@ -157,13 +174,15 @@ def test_capture_documents(spark, tmp_path):
 def test_trace_event_documents(spark, tmp_path):
     ddl = "trace_id bigint, ph string, name string, ts double, args string"
     events = spark.createDataFrame([(t, "X", f"k{i}", float(i), '{"n":%d}' % i if i % 2 else None) for t in (1, 2) for i in range(25)], ddl)
-    sinks.write_trace_events(events, str(tmp_path / "out"), events_per_document=10)
+    sinks.write_trace_events(events, str(tmp_path / "out"))
     lines = spark.read.text(str(tmp_path / "out")).collect()
-    docs = [(r.trace_id, json.loads(r.value)["traceEvents"]) for r in lines]
-    assert len(docs) > 2
+    assert len(lines) == events.count()
     for trace in (1, 2):
-        found = sorted((e["name"], (e.get("args") or {}).get("n")) for t, d in docs if t == trace for e in d)
+        found = sorted((e["name"], (e.get("args") or {}).get("n")) for e in (json.loads(r.value) for r in lines if r.trace_id == trace))
         assert found == sorted((f"k{i}", i if i % 2 else None) for i in range(25))
+    for file in (tmp_path / "out").glob("*/part-*"):
+        times = [json.loads(line)["ts"] for line in file.read_text().splitlines()]
+        assert times == sorted(times)
     edges = spark.createDataFrame([(1, 0, 1, 255)], "trace_id bigint, src bigint, tgt bigint, buffer_addr bigint")
     sinks.write_dep_graph({"edges": edges}, str(tmp_path / "graph"))
     assert spark.read.json(str(tmp_path / "graph" / "edges")).select(F.col("buffer")).first().buffer == "0xff"

@@ -11,7 +11,7 @@ def in_range(name: str, value: int, low: int, high: int | None = None) -> int:
 
 
 def top_n(n: int) -> int:
-    return in_range("n", n, 1, 500)
+    return in_range("n", n, 1)
 
 
 def limit_offset(limit: int | None, offset: int = 0) -> None:

@@ -435,7 +435,10 @@ def _encoders(rows: DataFrame, buffers: _Buffers) -> DataFrame:
 
 
 def number_dispatches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dispatches and barriers numbered in call order; each barrier knows the last dispatch before it in its encoder."""
+    """Dispatches and barriers numbered in call order; each barrier knows the last dispatch before it in its encoder.
+
+    Where events carry ``cb_idx``, a barrier takes the command buffer of its encoder, -1 where that has none.
+    """
     is_dispatch = F.col("type") == "dispatch"
     rows = events.filter(F.col("type").isin("dispatch", "barrier")).withColumn("_chunk", index_chunk("func_idx"))
     numbered = scan(
@@ -452,14 +455,14 @@ def number_dispatches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "func_idx",
         last_before={"after_dispatch_id": F.when(is_dispatch, F.col("dispatch_id"))},
     )
-    barriers = placed.filter("type = 'barrier'").select(
-        "trace_id",
-        "barrier_id",
-        "func_idx",
-        "scope",
-        "encoder_idx",
-        F.coalesce("after_dispatch_id", F.lit(-1)).alias("after_dispatch_id"),
-    )
+    walls = placed.filter("type = 'barrier'")
+    if "cb_idx" in events.columns:
+        named = F.when(F.col("cb_idx").isNotNull(), F.col("func_idx"))
+        owners = events.groupBy("trace_id", "encoder_idx").agg(F.min_by("cb_idx", named).alias("cb_idx"))
+        walls = walls.drop("cb_idx").join(owners, ["trace_id", "encoder_idx"], "left")
+        walls = walls.withColumn("cb_idx", F.coalesce("cb_idx", F.lit(-1)))
+    columns = ["trace_id", "barrier_id", "func_idx", "scope", "encoder_idx", *[c for c in walls.columns if c == "cb_idx"]]
+    barriers = walls.select(*columns, F.coalesce("after_dispatch_id", F.lit(-1)).alias("after_dispatch_id"))
     return dispatches, barriers
 
 
@@ -495,10 +498,10 @@ def gpu_overview(calls: DataFrame, state: CallState) -> DataFrame:
     return out.withColumn("avg_dispatches_per_cb", F.col("num_dispatches").cast("double") / buffers.cast("double"))
 
 
-def small_groups(groups: DataFrame, most: int = 50) -> DataFrame:
-    """Command buffers or encoders of recordings with at most ``most`` of them (the overview's detail lists)."""
-    few = groups.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most)
-    return groups.join(few, "trace_id", "left_semi")
+def counted_groups(groups: DataFrame) -> DataFrame:
+    """Command buffers or encoders with ``num_groups``, how many of them their recording has."""
+    counts = groups.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_groups"))
+    return groups.join(counts, "trace_id")
 
 
 def gpu_timeline(

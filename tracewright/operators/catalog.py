@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright import checks
 from tracewright.functions import text
 from tracewright.operators.ordered import index_chunk, number_rows
+from tracewright.session import cut_lineage
 
 
 def trace_info(df: DataFrame) -> DataFrame:
@@ -43,19 +44,26 @@ def open_trace(info: DataFrame, tables: DataFrame, entries: DataFrame) -> DataFr
 
 
 def expand_refs(
-    elements: DataFrame, keys: list[str], content: list[str], id_column: str = "id", ref_column: str = "ref", hops: int = 3
+    elements: DataFrame, keys: list[str], content: list[str], id_column: str = "id", ref_column: str = "ref"
 ) -> DataFrame:
     """Elements with ``ref`` take the content of the element with that id in the same document.
 
-    Chains are followed by doubling the id map, up to 2^hops links. Unknown references keep their own (empty) content.
+    Chains of any length are followed by doubling the id map until no link moves; the rounds grow with the logarithm of
+    the longest chain. References that run in a circle or to an unknown id keep their own (empty) content.
     """
     named = elements.filter(F.col(id_column).isNotNull())
-    links = named.filter(F.col(ref_column).isNotNull()).select(
-        *keys, F.col(id_column).alias("_from"), F.col(ref_column).alias("_to")
+    links = cut_lineage(
+        named.filter(F.col(ref_column).isNotNull()).select(*keys, F.col(id_column).alias("_from"), F.col(ref_column).alias("_to"))
     )
-    for _ in range(hops):
+    moved = None
+    while True:
         onward = links.select(*keys, F.col("_from").alias("_to"), F.col("_to").alias("_next"))
-        links = links.join(onward, [*keys, "_to"], "left").select(*keys, "_from", F.coalesce("_next", "_to").alias("_to"))
+        step = links.join(onward, [*keys, "_to"], "left")
+        before, moved = moved, step.filter("_next is not null").count()
+        # Every round settles some links of each open chain, so a number that stays is that of the circles.
+        if not moved or moved == before:
+            break
+        links = cut_lineage(step.select(*keys, "_from", F.coalesce("_next", "_to").alias("_to")))
     rows = elements.join(links.withColumnRenamed("_from", ref_column), [*keys, ref_column], "left")
     rows = rows.withColumn("_goal", F.coalesce("_to", ref_column)).drop("_to")
     source = named.filter(F.col(ref_column).isNull()).select(
@@ -77,29 +85,34 @@ def typed(cells: DataFrame) -> DataFrame:
 
 
 def query_table(cells: DataFrame, schema: str, limit: int | None = None) -> DataFrame:
-    """Any table by name: one row per table row with mnemonic → display text, and the total before the limit.
+    """Any table by name: one row per table row with mnemonic → display text, the total and the number returned.
 
-    Row numbers are dense per recording, so the limit is a filter and the total a count of rows.
+    Row numbers are dense per recording, so the limit is a filter. Cells without a header are left out, and the first of
+    several columns with one mnemonic counts. A name that no recording has is an error that names the tables there are.
     """
     checks.limit_offset(limit)
     chosen = cells.filter(F.col("schema") == checks.filled("schema", schema))
-    rows = chosen.groupBy("trace_id", "row_no").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("mnemonic", text.display_value(F.col("fmt"), F.col("text"))))
-        ).alias("row")
-    )
-    totals = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("total_rows"))
+    if chosen.isEmpty():
+        # Table names come from the recording format, so they are few.
+        names = sorted(r["schema"] for r in cells.select("schema").distinct().collect() if r["schema"])
+        raise ValueError(f"no table {schema!r}; there are: {', '.join(names) or 'none'}")
+    shown = text.display_value(F.col("fmt"), F.col("text"))
+    firsts = chosen.filter("mnemonic is not null").groupBy("trace_id", "row_no", "mnemonic").agg(F.min_by(shown, "position").alias("shown"))
+    filled = firsts.groupBy("trace_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("mnemonic", "shown"))).alias("row"))
+    totals = chosen.groupBy("trace_id").agg(F.count_distinct("row_no").alias("total_rows"))
+    rows = chosen.select("trace_id", "row_no").distinct().join(filled, ["trace_id", "row_no"], "left")
     if limit is not None:
-        first = Window.partitionBy("trace_id").orderBy("row_no")
-        rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= limit).drop("_r")
-    return rows.join(totals, "trace_id")
+        rows = number_rows(cut_lineage(rows), ["trace_id"], "row_no", "_r", index_chunk("row_no")).filter(F.col("_r") < limit).drop("_r")
+    returned = F.least("total_rows", F.lit(limit)) if limit is not None else F.col("total_rows")
+    return rows.join(totals.withColumn("returned_rows", returned), "trace_id")
+
+
+def table_columns(columns: DataFrame, schema: str) -> DataFrame:
+    """Column definitions of a table in order, as its header gives them; those without a mnemonic are left out."""
+    chosen = columns.filter((F.col("schema") == checks.filled("schema", schema)) & F.col("mnemonic").isNotNull())
+    return chosen.select("trace_id", "position", "mnemonic", "name", "engineering_type")
 
 
 def available_tables(cells: DataFrame) -> DataFrame:
     """Names of the tables that can be queried, per recording."""
     return cells.select("trace_id", "schema").distinct()
-
-
-def dense_rows(df: DataFrame, order: str) -> DataFrame:
-    """Number rows from 0 per recording along a unique order column."""
-    return number_rows(df, ["trace_id"], order, "row_no", index_chunk(order))

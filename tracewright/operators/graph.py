@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewright import checks
 from tracewright.functions import text
+from tracewright.functions import numeric
 from tracewright.operators.ordered import index_chunk, scan
 from tracewright.session import cut_lineage
 
@@ -35,8 +36,8 @@ class Graph(NamedTuple):
 
 
 def _positions(bindings: DataFrame) -> DataFrame:
-    """Bindings in call order: dispatch in the high part, slot order in the low 16 bits."""
-    pos = F.shiftleft(F.col("dispatch_id"), 16) + F.col("ord")
+    """Bindings in call order, by dispatch and then slot order."""
+    pos = numeric.begin_key(F.col("dispatch_id"), F.col("ord"))
     return bindings.select("trace_id", "dispatch_id", "buffer_addr", "access_mode", "ord", pos.alias("pos")).withColumn(
         "_chunk", index_chunk("dispatch_id")
     )
@@ -80,7 +81,7 @@ def hazard_edges(bindings: DataFrame, keep_self: bool = False) -> DataFrame:
 
     def edge(condition: Column, src: Column, tgt: Column, kind: str, order: Column) -> Column:
         found = F.struct(
-            src.alias("src"), tgt.alias("tgt"), F.lit(kind).alias("dep_type"), order.cast("int").alias("ord")
+            src.alias("src"), tgt.alias("tgt"), F.lit(kind).alias("dep_type"), order.cast("bigint").alias("ord")
         )
         return F.when(condition, found)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright import checks
 from tracewright.functions import fixed_values
 
 
@@ -24,29 +23,26 @@ def presence_matrix(calls: DataFrame, few: int = 6) -> DataFrame:
 
 
 def presence_pairs(calls: DataFrame, few: int = 6) -> DataFrame:
-    """The recordings of rare call ids, as sorted lists of fewer than ``few`` entries."""
+    """Every call id with every recording that holds it, the number of those recordings, and whether that is small."""
     pairs = calls.select("call_id", "trace_id").distinct()
-    rare = pairs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < few)
-    kept = pairs.join(rare, "call_id", "left_semi")
-    return kept.groupBy("call_id").agg(F.sort_array(F.collect_set("trace_id")).alias("trace_ids"))
+    counts = pairs.groupBy("call_id").agg(F.count(F.lit(1)).alias("recordings"))
+    return pairs.join(counts, "call_id").select("call_id", "trace_id", "recordings", (F.col("recordings") < few).alias("is_rare"))
 
 
-def byte_profile(records: DataFrame, group: str, column: str = "record", max_offset: int = 64, top: int = 3) -> DataFrame:
-    """Per group and byte offset that varies: distinct values and the most frequent ones.
+def byte_profile(records: DataFrame, group: str, column: str = "record") -> DataFrame:
+    """Per group and byte offset that varies: the values with their counts and ranks, ties to the smaller byte.
 
-    Bytes are counted per (group, offset, value), at most 256 rows each, before anything is ranked.
+    ``records`` is the number of non-empty records of the group. Bytes are counted per (group, offset, value), at most
+    256 rows each, before anything is ranked.
     """
-    checks.in_range("max_offset", max_offset, 1)
-    data = F.substring(F.hex(column), 1, 2 * max_offset)
-    offsets = F.sequence(F.lit(0), F.expr(f"length(substring(hex({column}), 1, {2 * max_offset})) div 2 - 1").cast("int"))
-    rows = records.filter(F.length(column) > 0).select(group, data.alias("_h"), F.explode(offsets).alias("offset"))
-    value = F.lower(F.substring(F.col("_h"), F.col("offset") * 2 + 1, F.lit(2)))
-    counts = rows.groupBy(group, "offset", value.alias("byte")).agg(F.count(F.lit(1)).alias("n"))
+    kept = records.filter(F.length(column) > 0)
+    sizes = kept.groupBy(group).agg(F.count(F.lit(1)).alias("records"))
+    pairs = F.regexp_extract_all(F.lower(F.hex(column)), F.lit("(..)"), F.lit(1))
+    counts = kept.select(group, F.posexplode(pairs).alias("offset", "byte")).groupBy(group, "offset", "byte").agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy(group, "offset").orderBy(F.col("n").desc(), "byte")
     whole = Window.partitionBy(group, "offset")
     ranked = counts.select(
         "*", F.row_number().over(rank).alias("rank"), F.count(F.lit(1)).over(whole).alias("distinct_values")
     )
-    return ranked.filter((F.col("distinct_values") > 1) & (F.col("rank") <= top)).select(
-        group, "offset", "distinct_values", "rank", F.concat(F.lit("0x"), "byte").alias("byte"), "n"
-    )
+    varying = ranked.filter(F.col("distinct_values") > 1).join(sizes, group)
+    return varying.select(group, "records", "offset", "distinct_values", "rank", F.concat(F.lit("0x"), "byte").alias("byte"), "n")

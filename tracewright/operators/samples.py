@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tracewright import checks
 from tracewright.functions import numeric, text
 
-# Depth bits of a first-seen key: row number in the high part, frame position in the low 20 bits.
-_POS_BITS = 20
-
 
 def time_range(df: DataFrame, column: str = "time_ns", start_ns: int | None = None, end_ns: int | None = None):
     """Rows between both ends, which are inclusive and optional."""
@@ -102,7 +99,7 @@ def top_weighted(weighted: DataFrame, name: str, weight: str, seen: str, n: int,
 def frames(samples: DataFrame) -> DataFrame:
     """One row per stack frame with a first-seen key that orders by sample, then by depth."""
     exploded = samples.select("trace_id", "row_no", "weight", F.posexplode("backtrace").alias("pos", "frame"))
-    seen = F.shiftleft(F.col("row_no"), _POS_BITS) + F.col("pos")
+    seen = numeric.begin_key(F.col("row_no"), F.col("pos"))
     return exploded.select("trace_id", "weight", F.col("frame.name").alias("name"), seen.alias("seen"))
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import GPU_SOURCES
 from tracewright.operators.ordered import index_chunk, number_rows, time_chunk
+from tracewright.session import cut_lineage, ship_package
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -323,23 +325,23 @@ def counter_hash_uses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, sf: str) -> DataFrame:
-    """Elements of one document per customer: the first order of a priority holds the content, others refer to it."""
+    """Elements of one document per customer: an order refers to the one before it, so references form long chains.
+
+    The first order and pending ones hold content of their own; one in 97 of the others refers to an id that no element has.
+    """
     orders = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("node"), "o_orderpriority", "o_orderstatus"
+        F.col("o_custkey").alias("trace_id"), F.col("o_orderkey").alias("node"), "o_orderstatus"
     )
-    firsts = orders.groupBy("trace_id", "o_orderpriority").agg(F.min("node").alias("first"))
-    joined = orders.join(firsts, ["trace_id", "o_orderpriority"])
-    own = F.col("node") == F.col("first")
-    # One in ten refers to an id that no element has; the first LOW refers on to the first URGENT, making chains.
-    chain = own & (F.col("o_orderpriority") == "5-LOW")
-    target = F.when(chain, F.lit("1-URGENT")).when(~own & (F.col("node") % 10 == 0), F.lit("missing"))
-    target = F.coalesce(target, F.when(~own, F.col("o_orderpriority")))
-    return joined.select(
+    numbered = cut_lineage(number_rows(time_chunk(orders, ["trace_id"], "node"), ["trace_id"], "node", "place").drop("_chunk"))
+    before = numbered.select("trace_id", (F.col("place") + 1).alias("place"), F.col("node").cast("string").alias("last"))
+    own = F.col("last").isNull() | (F.col("o_orderstatus") == "P")
+    target = F.when(~own, F.when(F.col("node") % 97 == 0, F.lit("missing")).otherwise(F.col("last")))
+    return numbered.join(before, ["trace_id", "place"], "left").select(
         "trace_id",
         "node",
-        F.when(own, F.col("o_orderpriority")).alias("id"),
+        F.col("node").cast("string").alias("id"),
         target.alias("ref"),
-        F.when(target.isNull(), F.concat("o_orderstatus", F.col("node").cast("string"))).alias("content"),
+        F.when(own, F.concat("o_orderstatus", F.col("node").cast("string"))).alias("content"),
     )
 
 

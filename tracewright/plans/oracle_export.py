@@ -24,12 +24,11 @@ SELECT {d} CAST(p_size AS VARCHAR) AS trace_id{o}, CASE WHEN p_partkey % 10 <> 0
 ORACLE["processes"] = _PROC.format(d="", o=", p_partkey AS ord")
 ORACLE["processes_distinct"] = _PROC.format(d="DISTINCT", o="")
 ORACLE["ref_expand"] = """
-WITH f AS (SELECT o_custkey AS t, o_orderpriority AS p, min(o_orderkey) AS first, min_by(o_orderstatus, o_orderkey) AS s
-           FROM orders GROUP BY ALL)
-SELECT o.o_custkey AS trace_id, o_orderkey AS node,
-       CASE WHEN o_orderkey <> f.first AND o_orderkey % 10 = 0 THEN NULL ELSE g.s || g.first END AS content
-FROM orders o JOIN f ON f.t = o.o_custkey AND f.p = o.o_orderpriority
-LEFT JOIN f g ON g.t = f.t AND g.p = CASE WHEN f.p = '5-LOW' THEN '1-URGENT' ELSE f.p END"""
+WITH o AS (SELECT o_custkey AS t, o_orderkey AS node, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+m AS (SELECT *, p = 1 OR s = 'P' AS own, NOT (p = 1 OR s = 'P') AND node % 97 = 0 AS lost FROM o),
+l AS (SELECT *, max(p) FILTER (own) OVER w AS at, max(p) FILTER (lost) OVER w AS gap FROM m WINDOW w AS (PARTITION BY t ORDER BY p ROWS UNBOUNDED PRECEDING))
+SELECT l.t AS trace_id, l.node, CASE WHEN coalesce(gap, 0) > l.at THEN NULL ELSE g.s || g.node END AS content
+FROM l JOIN o g ON g.t = l.t AND g.p = l.at"""
 _CELLS = """
 WITH c AS (SELECT *, CAST(c_nationkey AS VARCHAR) AS trace_id FROM customer)
 """
@@ -40,7 +39,7 @@ UNION ALL SELECT trace_id, 'accounts', c_custkey, 'key', CASE WHEN c_custkey % 5
                  CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END FROM c
 UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 'vendors', s_suppkey, 'name', s_name, 0 FROM supplier"""
 ORACLE["table_query"] = _CELLS + """
-SELECT trace_id, row_no, total_rows, name, segment, key FROM (
+SELECT trace_id, row_no, total_rows, least(total_rows, 5) AS returned_rows, name, segment, key FROM (
   SELECT trace_id, c_custkey AS row_no, count(*) OVER (PARTITION BY trace_id) AS total_rows, c_name AS name,
          CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment ELSE '7' END AS segment,
          CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS key,

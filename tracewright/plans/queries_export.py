@@ -52,7 +52,7 @@ def typed_cells(spark, sf):
 def table_query(spark, sf):
     found = catalog.query_table(adapters.cells(spark, sf), "accounts", limit=5)
     row = F.col("row")
-    return found.select("trace_id", "row_no", "total_rows", row["name"].alias("name"), row["segment"].alias("segment"), row["key"].alias("key"))
+    return found.select("trace_id", "row_no", "total_rows", "returned_rows", row["name"].alias("name"), row["segment"].alias("segment"), row["key"].alias("key"))
 
 
 def _parts(spark, sf):

@@ -15,27 +15,22 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", mode: st
     df.write.mode(mode).format(file_format).save(path)
 
 
-def trace_documents(events: DataFrame, events_per_document: int = 100_000) -> DataFrame:
-    """Viewer documents ``{"traceEvents": […]}``: one per recording, several for recordings with many events.
+def event_lines(events: DataFrame) -> DataFrame:
+    """(trace_id, ts, value): every event as one JSON object; ``args`` already is JSON text and becomes an object."""
+    fields = [c for c in events.columns if c not in ("trace_id", "args")]
+    head = events.withColumn("_head", F.to_json(F.struct(*fields)))
+    args = F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"args":'), "args", F.lit("}"))
+    return head.select("trace_id", "ts", F.when(F.col("args").isNotNull(), args).otherwise(F.col("_head")).alias("value"))
+
 
-    Large recordings are dealt out by a hash of the event, so every document stays near the given size.
+def write_trace_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One folder per recording with one event per line in time order, names and other events without a time first.
+
+    The rows are dealt out by ranges of (recording, time), so a recording of any size is spread over files that follow
+    one another, and none of it stands in one task or list.
     """
-    checks.in_range("events_per_document", events_per_document, 1)
-    fields = [c for c in events.columns if c not in ("trace_id", "args")]
-    # args already is JSON text; it goes into the event as an object.
-    head = F.to_json(F.struct(*fields))
-    args = F.when(F.col("args").isNotNull(), F.concat(F.expr("left(j, length(j) - 1)"), F.lit(',"args":'), "args", F.lit("}")))
-    rows = events.withColumn("j", head).select("trace_id", "ts", F.coalesce(args, F.col("j")).alias("event"))
-    sizes = events.groupBy("trace_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(events_per_document)).alias("_parts"))
-    placed = rows.join(sizes, "trace_id").withColumn("part", F.pmod(F.xxhash64("event"), F.col("_parts")))
-    docs = placed.groupBy("trace_id", "part").agg(F.sort_array(F.collect_list(F.struct("ts", "event"))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: x["event"]), ",")
-    return docs.select("trace_id", F.concat(F.lit('{"traceEvents":['), body, F.lit("]}")).alias("value"))
-
-
-def write_trace_events(events: DataFrame, path: str, events_per_document: int = 100_000, mode: str = "errorifexists") -> None:
-    """One folder per recording, one document per line."""
-    trace_documents(events, events_per_document).write.mode(mode).partitionBy("trace_id").text(path)
+    placed = event_lines(events).repartitionByRange("trace_id", "ts").sortWithinPartitions("trace_id", "ts", "value")
+    placed.select("trace_id", "value").write.mode(mode).partitionBy("trace_id").text(path)
 
 
 def write_dep_graph(tables: dict[str, DataFrame], path: str, file_format: str = "json", mode: str = "errorifexists") -> None:
