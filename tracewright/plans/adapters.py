@@ -5,7 +5,7 @@ These views stand in for stored recordings: a user's own tables of the same sche
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import GPU_SOURCES
@@ -216,20 +216,19 @@ def dispatches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bindings(spark: SparkSession, sf: str, nodes: DataFrame | None = None) -> DataFrame:
-    """Line numbers of an order are the buffer slots of its dispatch; one binding stays per slot."""
-    slots = (
-        table(spark, sf, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(F.max("l_suppkey").alias("supplier"), F.max(F.ascii("l_returnflag")).alias("flag"))
-    )
+    """The lines of an order, numbered by all that is read of them, are the buffer slots of its dispatch."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    # An order has a handful of lines.
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_returnflag")
+    slots = lines.withColumn("slot", F.row_number().over(place))
     nodes = (nodes or dispatches(spark, sf)).select("trace_id", "dispatch_id", "source_key")
     return slots.join(nodes, slots.l_orderkey == nodes.source_key).select(
         "trace_id",
         "dispatch_id",
-        F.col("l_linenumber").alias("ord"),
-        F.col("l_linenumber").alias("buffer_index"),
-        (F.col("supplier") % 8 + 1).alias("buffer_addr"),
-        F.expr("case flag when 65 then 'READ' when 78 then 'WRITE' else 'UNKNOWN' end").alias("access_mode"),
+        F.col("slot").alias("ord"),
+        F.col("slot").alias("buffer_index"),
+        (F.col("l_suppkey") % 8 + 1).alias("buffer_addr"),
+        F.expr("case l_returnflag when 'A' then 'READ' when 'N' then 'WRITE' else 'UNKNOWN' end").alias("access_mode"),
     )
 
 

@@ -195,9 +195,9 @@ BND = (
     DSP
     + """,
 bnd AS (
-  SELECT trace_id, d, l_linenumber AS ord, max(l_suppkey) % 8 + 1 AS addr,
-         CASE max(l_returnflag) WHEN 'A' THEN 'READ' WHEN 'N' THEN 'WRITE' ELSE 'UNKNOWN' END AS mode
-  FROM lineitem JOIN dsp ON source_key = l_orderkey GROUP BY trace_id, d, l_linenumber)"""
+  SELECT trace_id, d, row_number() OVER (PARTITION BY trace_id, d ORDER BY l_linenumber, l_suppkey, l_returnflag) AS ord,
+         l_suppkey % 8 + 1 AS addr, CASE l_returnflag WHEN 'A' THEN 'READ' WHEN 'N' THEN 'WRITE' ELSE 'UNKNOWN' END AS mode
+  FROM lineitem JOIN dsp ON source_key = l_orderkey)"""
 )
 SHARED = (
     BND
