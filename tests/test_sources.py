@@ -142,7 +142,7 @@ def test_table_of_contents(spark, tmp_path):
     assert [(r.schema, r.attributes) for r in listed] == [("time-profile", {"codes": "x"}), ("time-profile", {})]
     assert catalog.processes(toc.processes).count() == 3 and catalog.processes(toc.processes, distinct=True).count() == 2
     opened = catalog.open_trace(toc.info, toc.tables, toc.processes).first()
-    assert (opened.tables, opened.num_processes) == (["time-profile", "time-profile"], 3)
+    assert (opened.tables, opened.num_tables, opened.num_processes) == (["time-profile"], 2, 3)
     assert catalog.has_table(toc.tables, "absent").first().has_table is False
 
 

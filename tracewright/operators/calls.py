@@ -466,6 +466,39 @@ def number_dispatches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dispatches, barriers
 
 
+class DispatchTables(NamedTuple):
+    """What the dependency graph and the exports read, in their columns."""
+
+    dispatches: DataFrame
+    bindings: DataFrame
+    barriers: DataFrame
+    encoders: DataFrame
+    command_buffers: DataFrame
+
+
+def dispatch_tables(events: DataFrame, bindings: DataFrame, encoders: DataFrame, command_buffers: DataFrame) -> DispatchTables:
+    """Numbered tables from a call log or a capture; pass ``*read_calls(..)`` or the capture's tables in this order.
+
+    Bindings get their dispatch's number and, where none is known, the mode UNKNOWN; dispatches the number of their
+    buffers. An encoder belongs to the command buffer of its first dispatch, -1 without one, and so do its barriers.
+    """
+    dispatches, barriers = (cut_lineage(part) for part in number_dispatches(cut_lineage(events)))
+    mode = F.coalesce("access_mode", F.lit("UNKNOWN")) if "access_mode" in bindings.columns else F.lit("UNKNOWN")
+    numbers = dispatches.select("trace_id", "func_idx", "dispatch_id")
+    bound = bindings.join(numbers, ["trace_id", "func_idx"]).select("trace_id", "dispatch_id", "ord", "buffer_index", "buffer_addr", mode.alias("access_mode"))
+    bound = cut_lineage(bound)
+    counts = bound.groupBy("trace_id", "dispatch_id").agg(F.count(F.lit(1)).alias("buffers"))
+    owners = dispatches.groupBy("trace_id", "encoder_idx").agg(F.min_by("cb_idx", "dispatch_id").alias("cb_idx"))
+    owned = encoders.drop("cb_idx", "cb_created_idx").join(owners, ["trace_id", "encoder_idx"], "left")
+    return DispatchTables(
+        dispatches.join(counts, ["trace_id", "dispatch_id"], "left"),
+        bound,
+        barriers,
+        owned.withColumn("cb_idx", F.coalesce("cb_idx", F.lit(-1))),
+        command_buffers,
+    )
+
+
 def kernel_summary(events: DataFrame) -> DataFrame:
     """Dispatches per kernel, most frequent first, ties to the kernel seen first."""
     kernel = F.coalesce("kernel", F.lit("unknown")).alias("kernel")

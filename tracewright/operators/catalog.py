@@ -35,10 +35,9 @@ def processes(df: DataFrame, distinct: bool = False) -> DataFrame:
 
 
 def open_trace(info: DataFrame, tables: DataFrame, entries: DataFrame) -> DataFrame:
-    """Recording facts with the names of its tables and the number of its process entries."""
-    # A table of contents is short: one list per recording.
-    named = tables.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ord", "schema"))).alias("_t"))
-    named = named.select("trace_id", F.transform("_t", lambda t: t["schema"]).alias("tables"))
+    """Recording facts with the different names of its tables, the number of its tables and of its process entries."""
+    # The names come from the recording format, so a set of them is short however many tables there are.
+    named = tables.groupBy("trace_id").agg(F.sort_array(F.collect_set("schema")).alias("tables"), F.count(F.lit(1)).alias("num_tables"))
     counted = entries.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_processes"))
     return trace_info(info).join(named, "trace_id", "left").join(counted, "trace_id", "left")
 

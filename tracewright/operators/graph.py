@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewright import checks
 from tracewright.functions import text
 from tracewright.functions import numeric
-from tracewright.operators.ordered import index_chunk, scan
+from tracewright.operators.ordered import index_chunk, rank_rows, scan
 from tracewright.session import cut_lineage
 
 SCALES = ("cb", "encoder", "kernel")
@@ -547,6 +547,18 @@ def rollup_graph(dispatches: DataFrame, edges: DataFrame, barriers: DataFrame, s
     return RolledUp(nodes, rolled, composition, by_buffer.withColumnRenamed("_n", "weight"))
 
 
+def ranked_edges(edges: DataFrame, scale: str) -> DataFrame:
+    """Rolled-up edges with their rank per recording: heaviest first, then by source and target group."""
+    group = {"cb": "cb_idx", "encoder": "encoder_idx", "kernel": "kernel"}[checks.choice("scale", scale, SCALES)]
+    return rank_rows(edges, ["trace_id"], -F.col("weight"), [F.col(f"src_{group}"), F.col(f"tgt_{group}")])
+
+
+def ranked_nodes(nodes: DataFrame, scale: str) -> DataFrame:
+    """Rolled-up groups with their rank per recording: most dispatches first, then by group."""
+    group = {"cb": "cb_idx", "encoder": "encoder_idx", "kernel": "kernel"}[checks.choice("scale", scale, SCALES)]
+    return rank_rows(nodes, ["trace_id"], -F.col("dispatch_count"), [F.col(group)])
+
+
 def node_labels(nodes: DataFrame, scale: str) -> DataFrame:
     """Display label of rolled-up nodes."""
     count = F.col("dispatch_count").cast("string")

@@ -131,3 +131,14 @@ def scan(
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str, chunk: Column | None = None) -> DataFrame:
     """Zero-based dense position along ``order`` within ``keys``."""
     return scan(df, keys, order, chunk, sums_before={name: F.lit(1).cast("bigint")})
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], place: Column, ties: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Rank from 1 within ``keys`` by ``place`` (a BIGINT), then ``ties``, which must settle the order.
+
+    Counted over chunks of the order, so that no long sequence sits in one task.
+    """
+    order = F.struct("_place", *[tie.alias(f"tie{i}") for i, tie in enumerate(ties)])
+    rows = time_chunk(df.withColumn("_place", place.cast("bigint")).withColumn("_order", order), keys, "_place")
+    numbered = number_rows(rows, keys, "_order", "_position")
+    return numbered.select(*df.columns, (F.col("_position") + 1).alias(name))

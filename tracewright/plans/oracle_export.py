@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracewright.plans.oracle import ORACLE
-from tracewright.plans.oracle_gpu import BAR, BND, NCTR, SHARED
+from tracewright.plans.oracle_gpu import BAR, BND, DSP, NCTR, SHARED
 
 ORACLE["list_tables"] = """
 SELECT CAST(c_nationkey AS VARCHAR) AS trace_id, c_custkey AS ord, c_mktsegment AS schema,
@@ -192,3 +192,31 @@ re AS (SELECT g.trace_id, a.encoder_idx AS s, b.encoder_idx AS t, count(*) AS w,
     _element("re", id="'e_E' || s || '_E' || t", source="'E' || s", target="'E' || t", label="CAST(w AS VARCHAR)", color="'#6c757d'",
              width="least(1.0 + w / 50.0, 5.0)", dashed="false", count="bufs"),
 ])
+
+ORACLE["open_trace"] = f"""
+SELECT i.trace_id, i.device_name, i.duration_seconds, coalesce(t.tables, '') AS tables, t.num_tables, p.num_processes
+FROM ({ORACLE["trace_info"]}) i
+LEFT JOIN (SELECT CAST(c_nationkey AS VARCHAR) AS trace_id, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS tables,
+                  count(*) AS num_tables FROM customer GROUP BY c_nationkey) t USING (trace_id)
+LEFT JOIN (SELECT CAST(p_size AS VARCHAR) AS trace_id, count(*) AS num_processes FROM part GROUP BY p_size) p USING (trace_id)"""
+ORACLE["process_names"] = """
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 THEN 'Unknown' ELSE p_name END AS name FROM part"""
+ORACLE["short_names"] = """
+SELECT p_partkey, CASE WHEN length(l) > 25 THEN l[1:22] || '...' ELSE l END AS short,
+       CASE WHEN length(l) > 40 THEN l[1:37] || '...' ELSE l END AS label
+FROM (SELECT p_partkey, p_type || ' ' || p_name AS l FROM part)"""
+ORACLE["table_files"] = "WITH " + DSP + " SELECT trace_id, d AS dispatch_id, kernel, encoder_idx, cb_idx FROM dsp"
+ORACLE["event_files"] = ORACLE["trace_events_kernel"]
+ORACLE["dep_graph_files"] = f"""
+SELECT *, '0x' || lower(to_hex(buffer_addr)) AS buffer FROM ({ORACLE["dep_edges_hazard"]})"""
+ORACLE["export_files"] = """
+WITH r AS (SELECT *, CAST(c_nationkey AS VARCHAR) AS trace_id,
+                  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row_no FROM customer)
+SELECT trace_id, 'accounts' AS schema, row_no, 0 AS position, 'name' AS mnemonic, 'name' AS tag, c_name AS text, NULL AS fmt FROM r
+UNION ALL SELECT trace_id, 'accounts', row_no, 1, 'segment', 'segment', '7', c_mktsegment FROM r
+UNION ALL SELECT trace_id, 'accounts', row_no, 2, 'key', CASE WHEN c_custkey % 5 = 0 THEN 'sentinel' ELSE 'key' END,
+                 CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END, NULL FROM r"""
+ORACLE["capture_files"] = """
+SELECT CAST(c_nationkey AS VARCHAR) AS trace_id, c_custkey AS func_idx, CASE WHEN c_custkey % 4 = 0 THEN 'barrier' ELSE 'dispatch' END AS type,
+       c_mktsegment AS kernel, c_custkey % 3 AS encoder_idx,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 5 <> 0 THEN 0 ELSE -1 END AS cb_idx FROM customer"""

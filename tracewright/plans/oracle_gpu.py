@@ -257,6 +257,32 @@ ORACLE["dep_edges_barrier"] = _SH + BAR.format(edges="sh") + _E + "be"
 ORACLE["dep_reduced"] = _HZ + _CLOSE.format(g="hz")
 ORACLE["dep_graph"] = _SH + BAR.format(edges="sh") + _CLOSE.format(g="g")
 ORACLE["dep_critical_path"] = _HZ + _LONG.format(g="hz", nodes="dsp") + " SELECT * FROM cp"
+_LOG = _W + _NUMBERED + """,
+lb AS (SELECT trace_id, row_no AS i, k % 4 AS slot, 4096 + k AS addr FROM ev WHERE event_type = 'click' AND k % 13 <> 0),
+lr AS (SELECT trace_id, row_no AS i FROM ev WHERE event_type = 'purchase' OR (event_type = 'signup' AND k % 4 <> 0)),
+ld AS (SELECT d.trace_id, d.row_no AS i, (SELECT max(r.i) FROM lr r WHERE r.trace_id = d.trace_id AND r.i < d.row_no) AS since
+       FROM ev d WHERE event_type = 'purchase'),
+lf AS (SELECT d.trace_id, d.i, b.slot, CAST(max_by(b.addr, b.i) AS BIGINT) AS addr, min(b.i) AS ord
+       FROM ld d JOIN lb b ON b.trace_id = d.trace_id AND b.i < d.i AND b.i > coalesce(d.since, -1) GROUP BY ALL),
+dsp AS (SELECT trace_id, id AS d, enc AS encoder_idx, func_idx FROM num WHERE kind = 'D'),
+bnd AS (SELECT lf.trace_id, d, ord, addr FROM lf JOIN dsp ON dsp.trace_id = lf.trace_id AND dsp.func_idx = lf.i)""" + SHARED[len(BND):]
+_LOG_BAR = """,
+wall AS (SELECT DISTINCT b.trace_id, max(p.d) AS src, (SELECT min(n.d) FROM dsp n WHERE n.trace_id = b.trace_id AND n.encoder_idx = b.enc AND n.d > max(p.d)) AS tgt
+         FROM num b JOIN dsp p ON p.trace_id = b.trace_id AND p.encoder_idx = b.enc AND p.func_idx < b.func_idx WHERE b.kind = 'B'
+         GROUP BY b.trace_id, b.id, b.enc),
+be AS (SELECT trace_id, src, tgt, 'SHARED' AS dep_type, CAST(0 AS BIGINT) AS buffer_addr FROM wall w WHERE tgt IS NOT NULL
+       AND NOT EXISTS (SELECT 1 FROM sh e WHERE e.trace_id = w.trace_id AND e.src = w.src AND e.tgt = w.tgt)),
+g AS (SELECT * FROM sh UNION ALL SELECT * FROM be)"""
+ORACLE["log_dep_graph"] = _LOG + _LOG_BAR + _CLOSE.format(g="g")
+ORACLE["log_barriers"] = _W + _NUMBERED + """
+SELECT b.trace_id, b.id AS barrier_id, b.func_idx,
+       (SELECT CASE WHEN s.k % 20 = 0 THEN 'buffers' ELSE 'resources' END FROM steps s
+        WHERE s.trace_id = b.trace_id AND s.func_idx = b.func_idx) AS scope, b.enc AS encoder_idx,
+       coalesce((SELECT coalesce(c.cb_idx, -1) FROM walk w LEFT JOIN cbs c ON c.trace_id = w.trace_id AND c.m = w.d_m
+                 WHERE w.trace_id = b.trace_id AND w.kind = 'D' AND w.enc = b.enc ORDER BY w.func_idx LIMIT 1), -1) AS cb_idx,
+       coalesce((SELECT max(d.id) FROM num d WHERE d.trace_id = b.trace_id AND d.kind = 'D' AND d.enc = b.enc
+                 AND d.func_idx < b.func_idx), -1) AS after_dispatch_id
+FROM num b WHERE b.kind = 'B'"""
 ORACLE["dep_is_dag"] = _HZ + """
 SELECT trace_id, trace_id NOT IN (SELECT trace_id FROM hz0 WHERE src = tgt) AS is_dag FROM dsp GROUP BY trace_id"""
 _TOUCHED = """,
@@ -321,6 +347,19 @@ first_cb AS (SELECT trace_id, encoder_idx, min_by(cb_idx, d) AS cb_idx FROM dsp
 ORACLE["rollup_cb"] = _G + _ROLL.format(c="cb_idx")
 ORACLE["rollup_encoder"] = _G + _ROLL.format(c="encoder_idx")
 ORACLE["rollup_kernel"] = _G + _ROLL.format(c="kernel")
+ORACLE["rollup_edges_ranked"] = (
+    _G + "SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY weight DESC, src_kernel, tgt_kernel) AS rank FROM ("
+    + _ROLL.format(c="kernel") + ")"
+)
+ORACLE["rollup_groups_ranked"] = "WITH " + DSP + """
+SELECT trace_id, cb_idx, count(*) AS dispatch_count, row_number() OVER (PARTITION BY trace_id ORDER BY count(*) DESC, cb_idx) AS rank
+FROM dsp GROUP BY trace_id, cb_idx"""
+ORACLE["rollup_composition"] = "WITH " + DSP + """
+SELECT trace_id, encoder_idx, kernel, count(*) AS dispatches, min(d) AS first_id FROM dsp GROUP BY trace_id, encoder_idx, kernel"""
+ORACLE["rollup_edge_buffers"] = _G + """
+SELECT g.trace_id, a.encoder_idx AS src_encoder_idx, b.encoder_idx AS tgt_encoder_idx, g.buffer_addr, count(*) AS weight
+FROM g JOIN dsp a ON a.trace_id = g.trace_id AND a.d = g.src JOIN dsp b ON b.trace_id = g.trace_id AND b.d = g.tgt
+WHERE a.encoder_idx <> b.encoder_idx GROUP BY ALL"""
 ORACLE["rollup_cb_nodes"] = "WITH " + DSP + _COMP.format(c="cb_idx") + """,
 n0 AS (SELECT c.*, (SELECT count(*) FROM dsp b JOIN first_cb f ON f.trace_id = b.trace_id AND f.encoder_idx = b.encoder_idx
                     WHERE b.source_key % 7 = 0 AND b.trace_id = c.trace_id AND f.cb_idx = c.grp) AS walls FROM comp c)
@@ -335,7 +374,7 @@ ORACLE["rollup_kernel_nodes"] = _G + """,
 sd AS (SELECT g.trace_id, a.kernel, count(*) AS n FROM g JOIN dsp a ON a.trace_id = g.trace_id AND a.d = g.src
        JOIN dsp b ON b.trace_id = g.trace_id AND b.d = g.tgt WHERE a.kernel = b.kernel GROUP BY ALL),
 kn AS (SELECT trace_id, kernel, count(*) AS n FROM dsp GROUP BY ALL)
-SELECT k.trace_id, k.kernel, k.n AS dispatch_count, coalesce(sd.n, 0) AS self_deps,
+SELECT k.trace_id, k.kernel, k.n AS dispatch_count, k.kernel || '(' || k.n || ')' AS composition, coalesce(sd.n, 0) AS self_deps,
        'K' || (SELECT count(*) FROM kn o WHERE o.trace_id = k.trace_id AND o.kernel < k.kernel) AS node_id,
        k.kernel || chr(10) || 'dispatches=' || k.n || CASE WHEN sd.n > 0 THEN chr(10) || 'self-deps=' || sd.n ELSE '' END AS label
 FROM kn k LEFT JOIN sd ON sd.trace_id = k.trace_id AND sd.kernel = k.kernel"""
@@ -447,7 +486,7 @@ nc AS (SELECT trace_id, CASE counter WHEN 'click' THEN 'ALU Utilization' WHEN 'v
               CASE WHEN counter = 'signup' AND trace_id % 3 = 0 THEN 0.0 ELSE value END AS value FROM ctr),
 us AS (SELECT * FROM nc WHERE NOT starts_with(counter, '_') AND NOT (counter = 'Ray Occupancy' AND trace_id % 3 = 0))"""
 ORACLE["counter_summary"] = "WITH " + CTR + """
-SELECT trace_id, counter, min(value) AS min, max(value) AS max, count(*) AS num_samples FROM ctr GROUP BY ALL"""
+SELECT trace_id, counter, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, count(*) AS num_samples FROM ctr GROUP BY ALL"""
 _RATE = """,
 sz AS (SELECT trace_id, counter, count(*) AS n FROM {t} GROUP BY ALL),
 rt AS (SELECT trace_id, n, count(*) AS c, min(counter) AS first FROM sz GROUP BY ALL),
@@ -486,6 +525,9 @@ SELECT trace_id, counter, sample_idx, ts_ns, value, CAST(position AS INTEGER) AS
   JOIN ord o ON o.trace_id = u.trace_id AND o.counter = u.counter
   WHERE (u.trace_id, u.counter) NOT IN (SELECT (trace_id, counter) FROM others)
   UNION ALL """ + _NEAREST.format(src="us", extra=", c.position") + ")"
+ORACLE["counter_report"] = f"""
+SELECT trace_id, counter, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, count(*) AS num_samples
+FROM ({ORACLE["counter_matrix"]}) GROUP BY ALL"""
 ORACLE["hash_labels"] = """
 SELECT p_partkey AS trace_id,
   CASE p_partkey % 5 WHEN 0 THEN 'USC Counter 0' WHEN 1 THEN 'L2 Cache Utilization' WHEN 2 THEN 'GPU Cycles (RDE)'

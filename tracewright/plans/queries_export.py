@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import functions as F
 
+from tracewright.functions import text
 from tracewright.operators import catalog, export, graph
 from tracewright.plans import adapters
 from tracewright.plans.queries import query
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, shared_folder
+from tracewright.sources import captures, exports, sinks
 
 
 @query
@@ -123,3 +128,97 @@ def graph_elements(spark, sf):
 @query
 def graph_elements_encoder(spark, sf):
     return _drawn(spark, sf, "encoder").filter("type is null or type = 'cluster'")
+
+
+@query
+def open_trace(spark, sf):
+    found = catalog.open_trace(adapters.trace_info(spark, sf), adapters.table_entries(spark, sf), adapters.trace_processes(spark, sf))
+    return found.select("trace_id", "device_name", "duration_seconds", F.array_join("tables", ",").alias("tables"), "num_tables", "num_processes")
+
+
+@query
+def process_names(spark, sf):
+    named = adapters.table(spark, sf, "part").select("p_partkey", F.expr(
+        "case when p_partkey % 7 = 0 then null when p_partkey % 5 = 0 then '' when p_partkey % 3 = 0 then p_name "
+        "else concat(p_name, ' (', p_brand, ') (', p_partkey, ')') end"
+    ).alias("shown"))
+    return named.select("p_partkey", text.process_name(F.col("shown")).alias("name"))
+
+
+@query
+def short_names(spark, sf):
+    long = adapters.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("long"))
+    return long.select("p_partkey", text.shorten(F.col("long"), 25).alias("short"), text.shorten(F.col("long"), 40).alias("label"))
+
+
+# Files: what is written to the shared folder comes back unchanged.
+
+
+def _folder(spark) -> str:
+    return posixpath.join(shared_folder(spark), f"files-{uuid.uuid4().hex}")
+
+
+@query
+def table_files(spark, sf):
+    rows, path = adapters.dispatches(spark, sf).select("trace_id", "dispatch_id", "kernel", "encoder_idx", "cb_idx"), _folder(spark)
+    sinks.write_table(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query
+def event_files(spark, sf):
+    events, path = trace_events_kernel(spark, sf), _folder(spark)
+    sinks.write_trace_events(events, path)
+    fields = ", ".join(f"{name} {kind}" for name, kind in events.dtypes if name != "trace_id")
+    lines = spark.read.text(path).select(F.col("trace_id").cast("bigint"), F.from_json("value", fields).alias("e"))
+    return lines.select("trace_id", "e.*")
+
+
+@query
+def dep_graph_files(spark, sf):
+    nodes = cut_lineage(adapters.dispatches(spark, sf))
+    edges, path = graph.hazard_edges(cut_lineage(adapters.bindings(spark, sf, nodes))), _folder(spark)
+    sinks.write_dep_graph({"edges": edges}, path)
+    fields = ", ".join(f"{name} {kind}" for name, kind in edges.dtypes)
+    return spark.read.schema(fields + ", buffer string").json(f"{path}/edges")
+
+
+def _recording():
+    return F.regexp_extract("doc", "trace_id=([^/]*)/", 1)
+
+
+@query
+def export_files(spark, sf):
+    """Customers as XML table exports, one file per nation, read back as cells."""
+    column = "<col><mnemonic>{0}</mnemonic><name>{0}</name><engineering-type>string</engineering-type></col>"
+    head = '<trace-query-result><node><schema name="accounts">' + "".join(column.format(c) for c in ("name", "segment", "key")) + "</schema>"
+    customers = adapters.table(spark, sf, "customer").select(F.col("c_nationkey").alias("trace_id"), F.col("c_custkey").alias("at"), F.expr(
+        "concat('<row><name>', c_name, '</name><segment fmt=\"', c_mktsegment, '\">7</segment>', "
+        "if(c_custkey % 5 = 0, '<sentinel/>', concat('<key>', c_custkey, '</key>')), '</row>')"
+    ).alias("value"))
+    ends = customers.select("trace_id").distinct().select("trace_id", F.explode(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(head).alias("value")),
+        F.struct(F.lit((1 << 63) - 1).alias("at"), F.lit("</node></trace-query-result>").alias("value")),
+    )).alias("e")).select("trace_id", "e.*")
+    path = _folder(spark)
+    placed = customers.unionByName(ends).repartition("trace_id").sortWithinPartitions("trace_id", "at")
+    placed.select("trace_id", "value").write.partitionBy("trace_id").text(path)
+    cells = exports.table_cells(exports.read_exports(spark, f"{path}/*/*", _recording()))
+    return cells.select("trace_id", "schema", "row_no", "position", "mnemonic", "tag", "text", "fmt")
+
+
+@query
+def capture_files(spark, sf):
+    """Customers as capture documents, one per nation, read back as events."""
+    event = F.struct(
+        F.expr("if(c_custkey % 4 = 0, 'barrier', 'dispatch')").alias("type"), F.col("c_custkey").alias("index"),
+        F.col("c_mktsegment").alias("kernel"), (F.col("c_custkey") % 3).alias("encoder_idx"),
+    )
+    members = F.filter("events", lambda e: (e["type"] == "dispatch") & (e["index"] % 5 != 0))
+    # A nation's customers stand for one recording's events: a document is one JSON text by its format.
+    docs = adapters.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("trace_id")).agg(F.collect_list(event).alias("events"))
+    buffers = F.array(F.struct(F.lit(7).alias("func_idx"), F.lit("0x1").alias("addr"), F.transform(members, lambda e: F.struct(e["index"].alias("index"))).alias("dispatches")))
+    path = _folder(spark)
+    docs.select("trace_id", F.to_json(F.struct("events", buffers.alias("command_buffers"))).alias("value")).write.partitionBy("trace_id").text(path)
+    events = captures.read_captures(spark, f"{path}/*/*", multiline=False, recording=_recording()).events
+    return events.select("trace_id", "func_idx", "type", "kernel", "encoder_idx", "cb_idx")

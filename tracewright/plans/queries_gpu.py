@@ -130,6 +130,20 @@ def _capture(spark, sf):
     return nodes, cut_lineage(adapters.bindings(spark, sf, nodes)), adapters.barriers(spark, sf, nodes)
 
 
+@query
+def log_dep_graph(spark, sf):
+    """From the call log to the reduced dependency graph in one go."""
+    state = calls.read_calls(_log(spark, sf), adapters.gpu_resources(spark, sf))
+    tables = calls.dispatch_tables(*state)
+    return graph.build_dep_graph(tables.dispatches, tables.bindings, tables.barriers).edges
+
+
+@query
+def log_barriers(spark, sf):
+    """Barriers of the call log with the command buffer of their encoder."""
+    return calls.dispatch_tables(*_state(spark, sf)).barriers
+
+
 def _graph(spark, sf, mode="conservative", reduce=False):
     nodes, bound, walls = _capture(spark, sf)
     built = graph.build_dep_graph(nodes, bound, walls, mode, reduce)
@@ -234,6 +248,26 @@ def rollup_kernel(spark, sf):
     return _rolled(spark, sf, "kernel").edges
 
 
+@query
+def rollup_edges_ranked(spark, sf):
+    return graph.ranked_edges(_rolled(spark, sf, "kernel").edges, "kernel")
+
+
+@query
+def rollup_groups_ranked(spark, sf):
+    return graph.ranked_nodes(_rolled(spark, sf, "cb").nodes, "cb").select("trace_id", "cb_idx", "dispatch_count", "rank")
+
+
+@query
+def rollup_composition(spark, sf):
+    return _rolled(spark, sf, "encoder").composition
+
+
+@query
+def rollup_edge_buffers(spark, sf):
+    return _rolled(spark, sf, "encoder").edge_buffers
+
+
 @query
 def rollup_cb_nodes(spark, sf):
     return graph.node_labels(_rolled(spark, sf, "cb").nodes, "cb")
@@ -246,7 +280,7 @@ def rollup_encoder_nodes(spark, sf):
 
 @query
 def rollup_kernel_nodes(spark, sf):
-    return graph.node_labels(_rolled(spark, sf, "kernel").nodes, "kernel").drop("composition")
+    return graph.node_labels(_rolled(spark, sf, "kernel").nodes, "kernel")
 
 
 # Scheduling
@@ -316,7 +350,13 @@ def scheduling_summary(spark, sf):
 @query
 def counter_summary(spark, sf):
     """Means are left out here: their value depends on the order of additions. Tests cover them."""
-    return counters.counter_summary(adapters.counters(spark, sf)).drop("avg")
+    return counters.counter_summary(adapters.counters(spark, sf)).withColumn("avg", F.round("avg", 6))
+
+
+@query
+def counter_report(spark, sf):
+    """Summary of all usable counters on the recording's common time axis."""
+    return counters.counter_report(adapters.named_counters(spark, sf)).withColumn("avg", F.round("avg", 6))
 
 
 @query
