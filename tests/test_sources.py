@@ -110,6 +110,20 @@ def test_chains_of_references(spark):
     assert got == {0: "text", 1: "text", 2: "text", 3: "text", 4: None}
 
 
+def test_all_tables_of_a_file(spark, tmp_path):
+    (tmp_path / "r5").mkdir()
+    empty = _header("empty-table", ("a", "a"))
+    body = f"<trace-query-result><node>{SAMPLES}{SAMPLE_ROWS}</node><node>{empty}</node><node>{HANGS}{HANG_ROWS}</node></trace-query-result>"
+    (tmp_path / "r5" / "both.xml").write_text(body)
+    both = exports.read_exports(spark, str(tmp_path / "r5" / "both.xml"))
+    cells = exports.table_cells(both).collect()
+    assert {(r.schema, r.row_no) for r in cells} == {("time-profile", i) for i in (0, 2, 3)} | {("potential-hangs", i) for i in (4, 5)}
+    assert [r.start_ns for r in exports.hangs(both).orderBy("row_no").collect()] == [1500, 0]
+    names = {(r.schema, r.mnemonic) for r in catalog.table_columns(both.columns, "potential-hangs").join(both.columns.select("schema", "mnemonic"), "mnemonic").collect()}
+    assert ("potential-hangs", "start") in names
+    assert {r.schema for r in both.columns.select("schema").distinct().collect()} == {"time-profile", "empty-table", "potential-hangs"}
+
+
 def test_long_chains_and_circles(spark):
     rows = [(1, i, f"n{i}", f"n{i - 1}" if i else None, None if i else "text") for i in range(60)]
     rows += [(2, 0, "a", "b", None), (2, 1, "b", "a", None), (2, 2, None, "a", None)]

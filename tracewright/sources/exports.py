@@ -1,4 +1,4 @@
-"""Recording exports in XML: tables of one recording per file, and tables of contents.
+"""Recording exports in XML: files with one or more tables of a recording, and tables of contents.
 
 A table export is read as text split at row ends, so a large file is spread over tasks. Each fragment is parsed on its
 own; cells that refer to content given elsewhere in the file are completed by a join on (file, id).
@@ -22,10 +22,12 @@ from tracewright.schemas import schema as table_schema
 from tracewright.session import cut_lineage
 
 _OPEN_ROW = re.compile(r"<row(?=[\s>])(?![^>]*/>)")
+_TABLE = re.compile(r"<node(?=[\s>])")
+_SCHEMA = re.compile(r"<schema(?=[\s>]).*?</schema>", re.DOTALL)
 _EMPTY_ROW = re.compile(r"<row\s*/>")
 _NODE = "struct<idx:int,parent:int,position:int,tag:string,id:string,ref:string,text:string,fmt:string,attrs:map<string,string>>"
-_FRAGMENT = f"struct<rows:int,nodes:int,elements:array<{_NODE}>>"
-_HEADER = "struct<schema:string,columns:array<struct<mnemonic:string,name:string,engineering_type:string>>>"
+_HEADER = "struct<node:int,schema:string,columns:array<struct<mnemonic:string,name:string,engineering_type:string>>>"
+_FRAGMENT = f"struct<rows:int,nodes:int,elements:array<{_NODE}>,headers:array<{_HEADER}>>"
 
 
 class Exports(NamedTuple):
@@ -36,7 +38,7 @@ class Exports(NamedTuple):
 
 
 def _parse_fragment(fragment: str) -> dict:
-    """Cells of the row that ends a fragment, in document order; empty rows and table starts are only counted."""
+    """Cells of the row that ends a fragment, in document order, and table headers; empty rows and table starts are counted."""
     opened = _OPEN_ROW.search(fragment)
     elements: list[tuple] = []
     if opened:
@@ -54,7 +56,9 @@ def _parse_fragment(fragment: str) -> dict:
         for position, cell in enumerate(row):
             visit(cell, -1, position)
     rows = len(_EMPTY_ROW.findall(fragment)) + bool(opened)
-    return {"rows": rows, "nodes": len(re.findall(r"<node(?=[\s>])", fragment)), "elements": elements}
+    starts = [m.start() for m in _TABLE.finditer(fragment)]
+    headers = [(sum(at < m.start() for at in starts), *_header(m.group())) for m in _SCHEMA.finditer(fragment)]
+    return {"rows": rows, "nodes": len(starts), "elements": elements, "headers": headers}
 
 
 def _parsed(parse: Callable[[str], dict], ddl: str) -> Column:
@@ -66,12 +70,10 @@ def _parsed(parse: Callable[[str], dict], ddl: str) -> Column:
     return F.pandas_udf(batch, ddl)(F.col("value"))
 
 
-def _parse_header(fragment: str) -> dict:
-    found = re.search(r"<schema(?=[\s>]).*?</schema>", fragment, re.DOTALL)
-    root = ET.fromstring(found.group(0)) if found else ET.Element("schema")
+def _header(xml: str) -> tuple[str, list[tuple]]:
+    root = ET.fromstring(xml)
     parts = ("mnemonic", "name", "engineering-type")
-    columns = [tuple(col.findtext(p) or "" for p in parts) for col in root.findall("col")]
-    return {"schema": root.get("name", ""), "columns": columns}
+    return root.get("name", ""), [tuple(col.findtext(p) or None for p in parts) for col in root.findall("col")]
 
 
 def recording_of(path: Column) -> Column:
@@ -80,7 +82,10 @@ def recording_of(path: Column) -> Column:
 
 
 def read_exports(spark: SparkSession, paths: str | list[str], recording: Column | None = None) -> Exports:
-    """Read table exports. ``recording`` maps the column ``doc`` (file path) to the recording's id."""
+    """Read table exports, all tables of every file. ``recording`` maps the column ``doc`` (file path) to the recording's id.
+
+    Row numbers count all rows of a file, so those of a second table go on where the first one ends.
+    """
     lines = spark.read.option("lineSep", "</row>").text(paths)
     lines = lines.select(
         F.col("_metadata.file_path").alias("doc"),
@@ -88,33 +93,31 @@ def read_exports(spark: SparkSession, paths: str | list[str], recording: Column
         F.monotonically_increasing_id().alias("_line"),
         "value",
     )
-    headers = lines.filter(F.col("value").contains("<schema")).withColumn("h", _parsed(_parse_header, _HEADER))
-    # The first table of a file is the one that is read.
-    first = headers.groupBy("doc").agg(F.min_by("h", F.struct("_chunk", "_line")).alias("h"))
     trace = recording_of(F.col("doc")) if recording is None else recording
-    first = cut_lineage(first.select("doc", trace.cast("string").alias("trace_id"), F.col("h.schema").alias("schema"), "h.columns"))
-
     parsed = cut_lineage(lines.select("doc", "_chunk", "_line", _parsed(_parse_fragment, _FRAGMENT).alias("f")))
-    # Row numbers run over the whole file: a block of the file is a chunk, lines keep their order inside it.
-    numbered = scan(
-        parsed, ["doc"], "_line", sums={"_rows": F.col("f.rows"), "node_no": F.col("f.nodes")}
-    ).filter(F.size("f.elements") > 0)
-    elements = numbered.select(
+    # Rows and tables are counted over the whole file: a block of the file is a chunk, lines keep their order inside it.
+    numbered = scan(parsed, ["doc"], "_line", sums={"_rows": F.col("f.rows"), "node_no": F.col("f.nodes")})
+    heads = numbered.filter(F.size("f.headers") > 0).select("doc", F.explode("f.headers").alias("h"), (F.col("node_no") - F.col("f.nodes")).alias("_before"))
+    heads = heads.select(
+        "doc", trace.cast("string").alias("trace_id"), (F.col("_before") + F.col("h.node")).alias("node_no"), "h.schema", "h.columns"
+    )
+    heads = cut_lineage(heads)
+    elements = numbered.filter(F.size("f.elements") > 0).select(
         "doc", (F.col("_rows") - 1).alias("row_no"), "node_no", F.explode("f.elements").alias("e")
     ).select("doc", "row_no", "node_no", "e.*")
     elements = elements.withColumns({"src_row": F.col("row_no"), "src_idx": F.col("idx")})
     expanded = expand_refs(elements, ["doc"], ["tag", "text", "fmt", "attrs", "src_row", "src_idx"])
-    expanded = expanded.join(first.select("doc", "trace_id", "schema"), "doc")
-    columns = first.select("trace_id", "doc", "schema", F.posexplode("columns").alias("position", "c")).select(
-        "trace_id", "doc", "schema", "position", "c.*"
+    expanded = expanded.join(heads.select("doc", "node_no", "trace_id", "schema"), ["doc", "node_no"])
+    columns = heads.select("trace_id", "doc", "node_no", "schema", F.posexplode("columns").alias("position", "c")).select(
+        "trace_id", "doc", "node_no", "schema", "position", "c.*"
     )
     return Exports(cut_lineage(expanded), columns)
 
 
 def _cells(exports: Exports) -> DataFrame:
-    cells = exports.elements.filter("position >= 0 and node_no <= 1")
-    names = exports.columns.select("doc", "position", "mnemonic")
-    return cells.join(names, ["doc", "position"], "left")
+    cells = exports.elements.filter("position >= 0")
+    names = exports.columns.select("doc", "node_no", "position", "mnemonic")
+    return cells.join(names, ["doc", "node_no", "position"], "left")
 
 
 def table_cells(exports: Exports) -> DataFrame:
