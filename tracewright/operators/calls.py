@@ -121,11 +121,13 @@ def pipeline_sets(calls: DataFrame, resources: DataFrame | None = None) -> DataF
 
 
 def resolve_names(named: DataFrame, resources: DataFrame) -> DataFrame:
-    """Replace placeholder kernel names by the names stored beside the recording; others stay."""
-    lookup = resources.select(
-        "trace_id",
-        F.concat(F.lit("Compute Pipeline "), text.hex_text(F.col("addr"))).alias("kernel"),
-        F.col("name").alias("_resolved"),
+    """Replace placeholder kernel names by the names stored beside the recording; others stay.
+
+    Of several names of one address the last counts: by ``ord`` where the resources have it, else by the alphabet.
+    """
+    last = F.max_by("name", "ord") if "ord" in resources.columns else F.max("name")
+    lookup = resources.groupBy("trace_id", "addr").agg(last.alias("_resolved")).select(
+        "trace_id", F.concat(F.lit("Compute Pipeline "), text.hex_text(F.col("addr"))).alias("kernel"), "_resolved"
     )
     out = named.join(lookup, ["trace_id", "kernel"], "left")
     return out.withColumn("kernel", F.coalesce("_resolved", "kernel")).drop("_resolved").select(*named.columns)

@@ -336,14 +336,8 @@ def graph_elements(
     barriers: DataFrame,
     bindings: DataFrame | None = None,
     scale: str = "dispatch",
-    max_nodes: int | None = None,
 ) -> DataFrame:
-    """Clusters, nodes and edges of a drawn graph. ``max_nodes`` refuses recordings with more dispatches."""
-    if max_nodes is not None:
-        # One count per recording, and only whether any exceeds the limit reaches the driver.
-        sizes = dispatches.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
-        if not sizes.filter(F.col("n") > max_nodes).isEmpty():
-            raise ValueError(f"a recording has more than {max_nodes} dispatches; filter it or use a coarser scale")
+    """Clusters, nodes and edges of a drawn graph; rolled-up nodes are wider the more dispatches they hold."""
     if scale == "dispatch":
         return _dispatch_elements(dispatches, edges, barriers, bindings)
     return _group_elements(graph.rollup_graph(dispatches, edges, barriers, scale), scale)
@@ -412,6 +406,7 @@ def _dispatch_elements(
 
 def _group_elements(rolled: graph.RolledUp, scale: str) -> DataFrame:
     nodes = graph.node_labels(rolled.nodes, scale)
+    nodes = nodes.join(nodes.groupBy("trace_id").agg(F.max("dispatch_count").alias("largest")), "trace_id")
     group = {"cb": "cb_idx", "encoder": "encoder_idx", "kernel": "kernel"}[scale]
     names = nodes.select("trace_id", group, "node_id")
     edges = rolled.edges
@@ -428,7 +423,8 @@ def _group_elements(rolled: graph.RolledUp, scale: str) -> DataFrame:
         )
     parts.append(
         _element(
-            nodes, id=F.col("node_id"), label=F.col("label"), type=F.lit("aggregated"), parent=parent, count=F.col("dispatch_count")
+            nodes, id=F.col("node_id"), label=F.col("label"), type=F.lit("aggregated"), parent=parent, count=F.col("dispatch_count"),
+            width=numeric.node_width(F.col("dispatch_count"), F.col("largest")),
         )
     )
     parts.append(

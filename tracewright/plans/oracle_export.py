@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tracewright.plans.oracle import ORACLE
-from tracewright.plans.oracle_gpu import BAR, BND, DSP, NCTR, SHARED
+from tracewright.plans.oracle_gpu import BAR, BND, COMP, DSP, NCTR, SHARED
 
 ORACLE["list_tables"] = """
 SELECT CAST(c_nationkey AS VARCHAR) AS trace_id, c_custkey AS ord, c_mktsegment AS schema,
@@ -182,13 +182,20 @@ w0 AS (SELECT *, CASE WHEN source_key % 2 = 0 THEN 'B' ELSE 'R' END AS lab FROM
     _element("wall", id="'be_pre_' || src", source="'D' || src", target="'barrier' || src", label="''", color=_RED, width="1.5", dashed="true"),
     _element("wall", id="'be_post_' || src", source="'barrier' || src", target="'D' || tgt", label="''", color=_RED, width="1.5", dashed="true"),
 ])
-ORACLE["graph_elements_encoder"] = _G + """,
+ORACLE["graph_elements_encoder"] = _G + COMP.format(c="encoder_idx") + """,
+en AS (SELECT c.*, f.cb_idx, max(c.n) OVER (PARTITION BY c.trace_id) AS most,
+              (SELECT count(*) FROM dsp b WHERE b.source_key % 7 = 0 AND b.trace_id = c.trace_id AND b.encoder_idx = c.grp) AS walls
+       FROM comp c JOIN first_cb f ON f.trace_id = c.trace_id AND f.encoder_idx = c.grp),
 own AS (SELECT trace_id, encoder_idx, min_by(cb_idx, d) AS cb FROM dsp GROUP BY ALL),
 re AS (SELECT g.trace_id, a.encoder_idx AS s, b.encoder_idx AS t, count(*) AS w, count(DISTINCT g.buffer_addr) AS bufs
        FROM g JOIN dsp a ON a.trace_id = g.trace_id AND a.d = g.src JOIN dsp b ON b.trace_id = g.trace_id AND b.d = g.tgt
        WHERE a.encoder_idx <> b.encoder_idx GROUP BY ALL)
 """ + _UNION.join([
     _element("(SELECT DISTINCT trace_id, cb FROM own)", id="'cluster_CB_' || cb", label="'CB #' || cb", type="'cluster'"),
+    _element("en", id="'E' || grp", type="'aggregated'", parent="'cluster_CB_' || cb_idx", count="n",
+             width="1.5 + 2.5 * (n / greatest(most, 1))",
+             label="'Encoder #' || grp || chr(10) || n || ' dispatches' || CASE WHEN walls > 0 THEN ', ' || walls || ' barriers' ELSE '' END "
+                   "|| chr(10) || composition"),
     _element("re", id="'e_E' || s || '_E' || t", source="'E' || s", target="'E' || t", label="CAST(w AS VARCHAR)", color="'#6c757d'",
              width="least(1.0 + w / 50.0, 5.0)", dashed="false", count="bufs"),
 ])

@@ -336,7 +336,7 @@ _ROLL = """
 SELECT g.trace_id, a.{c} AS src_{c}, b.{c} AS tgt_{c}, count(*) AS weight, count(DISTINCT g.buffer_addr) AS buffers
 FROM g JOIN dsp a ON a.trace_id = g.trace_id AND a.d = g.src JOIN dsp b ON b.trace_id = g.trace_id AND b.d = g.tgt
 WHERE a.{c} <> b.{c} GROUP BY ALL"""
-_COMP = """,
+COMP = """,
 kc AS (SELECT trace_id, {c} AS grp, kernel, count(*) AS n, row_number() OVER (PARTITION BY trace_id, {c} ORDER BY count(*) DESC, min(d)) AS r
        FROM dsp GROUP BY trace_id, {c}, kernel),
 comp AS (SELECT trace_id, grp, CAST(sum(n) AS BIGINT) AS n,
@@ -360,13 +360,13 @@ ORACLE["rollup_edge_buffers"] = _G + """
 SELECT g.trace_id, a.encoder_idx AS src_encoder_idx, b.encoder_idx AS tgt_encoder_idx, g.buffer_addr, count(*) AS weight
 FROM g JOIN dsp a ON a.trace_id = g.trace_id AND a.d = g.src JOIN dsp b ON b.trace_id = g.trace_id AND b.d = g.tgt
 WHERE a.encoder_idx <> b.encoder_idx GROUP BY ALL"""
-ORACLE["rollup_cb_nodes"] = "WITH " + DSP + _COMP.format(c="cb_idx") + """,
+ORACLE["rollup_cb_nodes"] = "WITH " + DSP + COMP.format(c="cb_idx") + """,
 n0 AS (SELECT c.*, (SELECT count(*) FROM dsp b JOIN first_cb f ON f.trace_id = b.trace_id AND f.encoder_idx = b.encoder_idx
                     WHERE b.source_key % 7 = 0 AND b.trace_id = c.trace_id AND f.cb_idx = c.grp) AS walls FROM comp c)
 SELECT trace_id, grp AS cb_idx, n AS dispatch_count, composition, walls AS barrier_count, 'CB' || grp AS node_id,
        'CB #' || grp || chr(10) || n || ' dispatches' || CASE WHEN walls > 0 THEN ', ' || walls || ' barriers' ELSE '' END
          || chr(10) || composition AS label FROM n0"""
-ORACLE["rollup_encoder_nodes"] = "WITH " + DSP + _COMP.format(c="encoder_idx") + """
+ORACLE["rollup_encoder_nodes"] = "WITH " + DSP + COMP.format(c="encoder_idx") + """
 SELECT c.trace_id, grp AS encoder_idx, n AS dispatch_count, composition, f.cb_idx, 'E' || grp AS node_id,
        (SELECT count(*) FROM dsp b WHERE b.source_key % 7 = 0 AND b.trace_id = c.trace_id AND b.encoder_idx = c.grp) AS barrier_count
 FROM comp c JOIN first_cb f ON f.trace_id = c.trace_id AND f.encoder_idx = c.grp"""

@@ -127,7 +127,7 @@ def graph_elements(spark, sf):
 
 @query
 def graph_elements_encoder(spark, sf):
-    return _drawn(spark, sf, "encoder").filter("type is null or type = 'cluster'")
+    return _drawn(spark, sf, "encoder")
 
 
 @query
