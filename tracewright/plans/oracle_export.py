@@ -201,7 +201,7 @@ re AS (SELECT g.trace_id, a.encoder_idx AS s, b.encoder_idx AS t, count(*) AS w,
 ])
 
 ORACLE["open_trace"] = f"""
-SELECT i.trace_id, i.device_name, i.duration_seconds, coalesce(t.tables, '') AS tables, t.num_tables, p.num_processes
+SELECT i.trace_id, i.device_name, i.duration_seconds, t.tables, t.num_tables, p.num_processes
 FROM ({ORACLE["trace_info"]}) i
 LEFT JOIN (SELECT CAST(c_nationkey AS VARCHAR) AS trace_id, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS tables,
                   count(*) AS num_tables FROM customer GROUP BY c_nationkey) t USING (trace_id)
