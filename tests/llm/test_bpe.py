@@ -28,6 +28,16 @@ def test_chunked_encoding_equals_the_library(reference):
     assert encoder.reused > 0
 
 
+def test_latin_text_equals_the_library(reference):
+    rng, encoder = random.Random(6), bpe.Encoder(PATH)
+    assert encoder.latin is not None
+    vocabulary = sorted(t for t in reference.get_vocab() if t.isalpha())
+    pools = [[chr(c) for c in range(256)], list("abcdeéüß \n'"), vocabulary[:: len(vocabulary) // 3000], list("etaoinshr ")]
+    for number in range(20_000):
+        text = "".join(rng.choice(pools[number % 4]) for _ in range(rng.randint(0, 60)))
+        assert encoder.whole(text) == reference.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_shared_passages_are_encoded_once():
     rng = random.Random(1)
     words = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
