@@ -89,8 +89,9 @@ def learn(docs: DataFrame, per_language: int = 2000, longest: int = 5, smoothing
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Model([], np.empty(0), [])
+    # As many rows as languages, which the driver holds already.
     shares = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, per_language / r["count"])) for i, r in enumerate(sizes)], "lang string, language int, share double")
-    sample = known.join(shares, "lang").where(uniform("doc_id") < F.col("share")).select("text", "language")
+    sample = known.join(F.broadcast(shares), "lang").where(uniform("doc_id") < F.col("share")).select("text", "language")
 
     def run(source):
         for batch in source:
