@@ -30,9 +30,10 @@ def test_recursion_counts_every_occurrence(spark):
     assert [(r.name, r.total_weight) for r in ranged] == [("g", 7)]
     leaves = samples.self_functions(df).orderBy("rank").collect()
     assert [(r.name, r.total_weight) for r in leaves] == [("g", 7), ("f", 5)]
-    for bad in (0, 501):
+    for bad in (0, -1):
         with pytest.raises(ValueError):
             samples.top_functions(df, bad)
+    assert samples.top_functions(df, 501).count() == 2
 
 
 def test_ties_go_to_the_first_seen(spark):
