@@ -74,6 +74,19 @@ def test_phases_agree_for_bounded_and_chunked_scans(spark):
     assert pick(timeline.merge_phases(rows)) == pick(timeline.merge_phases(rows, bounded=True))
 
 
+def test_more_buckets_than_a_chunk_number_runs_once(spark, monkeypatch):
+    cpu = _samples(spark, [(i, i * 7 * MS, (i % 4) * 3 * MS, [f"f{i % 3}"]) for i in range(60)])
+    gpu = _gpu(spark, [(i * 11 * MS, 5 * MS, "x") for i in range(30)])
+    pick = lambda r: sorted((p.island, p.phase, p.start_ns, p.end_ns, p.buckets) for p in r.phases.collect())
+    whole = timeline.correlated_timeline(cpu, gpu, num_buckets=40)
+    want, summary = pick(whole), whole.breakdown.collect()
+    chunk = timeline.index_chunk
+    monkeypatch.setattr(timeline, "index_chunk", lambda index: chunk(index, 8))
+    cut = timeline.correlated_timeline(cpu, gpu, num_buckets=40)
+    assert pick(cut) == want
+    assert sorted(cut.breakdown.collect()) == sorted(summary)
+
+
 def test_short_last_bucket_and_single_instant_are_dropped(spark):
     # 100.5 ms in buckets of 10 ms leave half a millisecond, less than a tenth of the width.
     cpu = _samples(spark, [(0, 0, 1, ["f"]), (1, 100 * MS + MS // 2, 1, ["f"])])

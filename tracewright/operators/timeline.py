@@ -152,7 +152,7 @@ def buckets(samples: DataFrame, gpu: DataFrame, plan: DataFrame) -> tuple[DataFr
 def merge_phases(timeline: DataFrame, bounded: bool = False) -> DataFrame:
     """Runs of buckets with equal phase; a phase ends where the next one starts.
 
-    ``bounded`` states that recordings have at most a chunk of buckets, as with any given number of buckets.
+    ``bounded`` states that recordings have at most a chunk of buckets.
     """
     key = ["trace_id"]
     chunked = timeline.withColumn("_chunk", index_chunk("bucket"))
@@ -247,7 +247,8 @@ def correlated_timeline(
     # One row per recording; every later step joins it, so it is stored once.
     plan = cut_lineage(bucket_plan(extents(samples, gpu), num_buckets, bucket_ms))
     timeline, others = buckets(samples, gpu, plan)
-    phases = merge_phases(timeline, bounded=bucket_ms is None)
+    # Only the default plan keeps recordings within a chunk: a given width or number of buckets may exceed it.
+    phases = merge_phases(timeline, bounded=bucket_ms is None and num_buckets is None)
     cpu_count = samples.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_cpu_samples"))
     gpu_count = gpu.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_gpu_intervals"))
     summary = (
