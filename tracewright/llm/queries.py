@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, decontaminate, divergence, embeddings, html, language, pii, quality, sharding, simhash, token_counts
+from tracewright.llm import bpe, centroids, decontaminate, divergence, embeddings, html, language, pii, quality, sharding, simhash, token_counts
 from tracewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,31 @@ term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM
 SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
 UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term)
 WHERE rank <= 200"""
+
+
+@query
+def op11_centroids(spark, sf_dir):
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds written out one after the other; components are integers throughout."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+e{r} AS MATERIALIZED (SELECT r, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance, c.c FROM v, c{r} c),
+a{r} AS MATERIALIZED (SELECT r, min(distance) AS distance, min_by(c, (distance, c)) AS c FROM e{r} GROUP BY r)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT a{r}.c, j, sum(v.x[j])::BIGINT AS s, count(*) AS n FROM a{r} JOIN v USING (r), range(1, 65) t(j) GROUP BY a{r}.c, j),
+n{r} AS (SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY j) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(n{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN n{r} USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), x) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id::VARCHAR), x LIMIT {k}),{",".join(steps)}
+SELECT vec_id, a.c::INT AS cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(f.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} f ON f.c = a.c"""
+
+
+ORACLE["op11_centroids"] = centroids_sql()
