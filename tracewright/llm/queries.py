@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, centroids, decontaminate, divergence, embeddings, html, language, pii, quality, sharding, simhash, token_counts
+from tracewright.llm import bpe, centroids, decontaminate, divergence, embeddings, html, language, neighbours, pii, quality, sharding, simhash, token_counts
 from tracewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,8 @@ SELECT vec_id, a.c::INT AS cluster, a.distance, sum(a.distance) OVER (PARTITION
 
 
 ORACLE["op11_centroids"] = centroids_sql()
+
+
+@query
+def op12_neighbours(spark, sf_dir):
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
