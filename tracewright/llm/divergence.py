@@ -35,7 +35,7 @@ from tracewright.llm.common import arrays, stored
 
 UNIT = 1_000_000_000
 #: Distinct terms a counting task holds before it hands its counts on.
-HELD_TERMS = 400_000
+HELD_TERMS = 800_000
 #: Postings of one block of the term-major index, unless a single term has more.
 BLOCK_ROWS = 200_000
 #: Peers in a block of floors.
@@ -83,14 +83,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from rows(counts, marks)
 
     found = source.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return found.groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have combined their counts, so one shuffle by term serves both the sums and all that looks along a term.
+    return found.repartition("lang", "term").groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: Column, total: Column) -> Column:
     """1 + floor(10^9 count / total) for whole numbers of any size; null for a total of zero."""
     scaled = count.cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    quotient = F.call_function("div", scaled, F.greatest(total, F.lit(1)).cast("decimal(20,0)"))
-    return F.when(total > 0, quotient + 1)
+    large = F.call_function("div", scaled, total.cast("decimal(20,0)"))
+    small = F.call_function("div", count * UNIT, total)
+    return F.when((total > 0) & (count < UNIT), small + 1).when(total > 0, large + 1)
 
 
 def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -163,17 +165,17 @@ def _against_floors(source):
 
 def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` rows for all peers, ``term`` rows for the ``top`` terms above the language."""
-    counts = stored(term_counts(docs))
     of_term = Window.partitionBy("lang", "term")
-    summed = counts.where("term is not null").select("*", F.sum("docs").over(of_term).alias("held_by"), F.sum("n").over(of_term).alias("lang_n"))
-    kept = stored(summed.where(F.col("held_by") >= min_docs).select(*_GROUP, "term", "n", "lang_n"))
+    summed = term_counts(docs).select("*", F.sum("docs").over(of_term).alias("held_by"), F.sum("n").over(of_term).alias("lang_n"))
+    counts = stored(summed.where((F.col("held_by") >= min_docs) | F.col("term").isNull()).select(*_GROUP, "term", "n", "lang_n"))
+    kept = counts.where("term is not null")
     words = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
     totals = kept.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
     groups = counts.where("term is null").select(*_GROUP).join(words, "lang", "left").join(totals, _GROUP, "left").na.fill(0, ["kept", "lang_total", "total"])
     groups = stored(groups.withColumn("floor", _share(F.lit(1), F.col("total") + F.col("kept"))))
     # Groups are few rows beside the postings; adaptive execution picks the join from their measured size.
+    # Three steps read the shares; computing them anew costs less than another copy of the index.
     shares = kept.join(groups, _GROUP).select(*_GROUP, "term", _share(F.col("n") + 1, F.col("total") + F.col("kept")).alias("p"), "floor", _share(F.col("lang_n") + 1, F.col("lang_total") + F.col("kept")).alias("q"))
-    shares = stored(shares)
 
     opens = F.row_number().over(of_term.orderBy("source")) == 1
     both = shares.select(*_GROUP, "p", "floor", opens.alias("opens")).mapInArrow(_scatter, _PAIR)
