@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 sys.path.insert(0, os.path.dirname(__file__))
 
 from test_decontaminate import plain_report  # noqa: E402
-from test_simhash import plain_components, plain_fingerprint  # noqa: E402
+from test_near import plain_groups  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
@@ -32,7 +32,7 @@ def test_run_equals_plain_version(spark):
     docs = read(spark, SF, "documents")
     weights = quality.train(docs, quality.marks(read(spark, SF, "labels")))
     rows = {r.doc_id: r for r in docs.collect() if plain_accepts(r.text, weights)}
-    firsts = plain_components({i: plain_fingerprint(r.text) for i, r in rows.items()})
+    firsts = plain_groups([(i, r.text) for i, r in rows.items()])
     rows = {i: r for i, r in rows.items() if firsts[i] == i}
     items = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
     dirty = {r[0] for r in plain_report([(i, r.text) for i, r in rows.items()], items) if r[5]}
