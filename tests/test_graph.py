@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tracewright.operators import graph
+from tracewright.operators import graph, tiles
 
 EDGE = "trace_id bigint, src bigint, tgt bigint, dep_type string, buffer_addr bigint"
 
@@ -162,3 +162,49 @@ def test_degrees_and_kernel_counts(spark):
     counts = {r.kernel: (r.dispatches, r.edges_in, r.edges_out) for r in graph.kernel_edge_counts(nodes, edges).collect()}
     assert counts == {"a": (2, 1, 3), "b": (2, 2, 0)}
     assert [r.dispatch_id for r in graph.isolated(nodes, edges).collect()] == [3]
+
+
+def _ordered_graphs():
+    """Recordings named by text, as files give them, with edges of all widths."""
+    rng = random.Random(3)
+    return {f"rec_{t}": {(a, a + rng.choice([1, 2, 3, 8, 30, 90])) for a in (rng.randrange(100) for _ in range(150))} for t in range(5)}
+
+
+@pytest.mark.parametrize("tile", [2, 5, 16, 4096])
+def test_tiles_of_any_size_give_the_same_reduction_and_longest_paths(spark, tile):
+    graphs = _ordered_graphs()
+    rows = [(name, *p) for name, pairs in graphs.items() for p in pairs]
+    stored = graph.cut_lineage(spark.createDataFrame(rows, "trace_id string, src bigint, tgt bigint"))
+    assert {tuple(r) for r in tiles.redundant_edges(stored, tile).collect()} == {(name, *p) for name, pairs in graphs.items() for p in _redundant(pairs)}
+
+    def longest(pairs):
+        best = {}
+        for a, b in sorted(pairs):
+            best[b] = max(best.get(b, 0), best.get(a, 0) + 1)
+        return max(best.values())
+
+    assert {r[0]: r[1] for r in tiles.longest_paths(stored, tile).collect()} == {name: longest(pairs) for name, pairs in graphs.items()}
+
+
+def test_number_of_jobs_follows_the_levels_and_not_the_path(spark):
+    """A wide edge over a chain; eight times the ids are one more level."""
+    jobs = {}
+    for n in (64, 128, 1024):
+        chain = [("a", i, i + 1) for i in range(n)] + [("a", 0, n)]
+        stored = graph.cut_lineage(spark.createDataFrame(chain, "trace_id string, src bigint, tgt bigint"))
+        spark.sparkContext.setJobGroup(f"chain-{n}", "")
+        assert [tuple(r) for r in tiles.redundant_edges(stored, 16).collect()] == [("a", 0, n)]
+        assert tiles.longest_paths(stored, 16).first()[1] == n
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[64] <= jobs[128] <= jobs[64] + 6 and jobs[1024] <= jobs[128] + 6
+
+
+def test_reduced_graph_of_named_recordings(spark):
+    ddl = "trace_id string, dispatch_id bigint, ord int, buffer_index int, buffer_addr bigint, access_mode string"
+    rows = [("rec_a", d, i, i, addr, "UNKNOWN") for d, bound in enumerate([[7], [7, 8], [8, 7]]) for i, addr in enumerate(bound)]
+    nodes = spark.createDataFrame([("rec_a", i) for i in range(3)], "trace_id string, dispatch_id bigint")
+    built = graph.build_dep_graph(nodes, spark.createDataFrame(rows, ddl), mode="hazard")
+    assert _pairs(built.edges) == {(0, 1), (1, 2)}
+    facts = graph.dep_summary(nodes, built.edges).first()
+    assert (facts.trace_id, facts.critical_path_length, facts.is_dag) == ("rec_a", 2, True)

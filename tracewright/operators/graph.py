@@ -1,31 +1,26 @@
 """Dependency graphs of dispatches: hazards, barriers, reduction, longest path, roll-ups.
 
-Dispatch ids are call order, so an edge normally points to a larger id. Iterative operators use that: a path between two
-ids only visits ids in between, hence it lies inside a tile of the id range, and most work is done tile by tile without
-any iteration over the whole graph. Graphs with other id orders take the general path.
+Dispatch ids are call order, so an edge normally points to a larger id. Reduction and longest path use that: a path between
+two ids only visits ids in between, so a hierarchy of id tiles decides them in a number of steps that does not depend on
+the length of paths (``tiles``). Graphs with other id orders take general loops, one round per step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright import checks
 from tracewright.functions import text
 from tracewright.functions import numeric
+from tracewright.operators import tiles
 from tracewright.operators.ordered import index_chunk, rank_rows, scan
 from tracewright.session import cut_lineage
 
 SCALES = ("cb", "encoder", "kernel")
 MODES = ("conservative", "hazard")
-# Ids per tile of the reduction; its reach sets take at most TILE bits each.
-TILE = 4096
-# Ids per block of the longest-path sweep.
-BLOCK = 1 << 20
 
 _PAIR = ["trace_id", "src", "tgt"]
 
@@ -120,66 +115,18 @@ def barrier_edges(dispatches: DataFrame, barriers: DataFrame, edges: DataFrame)
     )
 
 
-def _python_tasks(df: DataFrame) -> int:
-    """Tasks for a shuffle whose reducers run Python; a stated number is kept, where sizes in bytes would merge them."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _tile_reducer(half: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Edges of a tile that another path replaces, from rows sorted by recording, tile and descending source.
-
-    Reach sets are bit patterns over the ids of one tile; only those of the current tile are held.
-    """
-
-    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: tuple[int, int] | None = None
-        source, targets = -1, []
-        reach: dict[int, int] = {}
-        found: list[tuple[int, int, int]] = []
-
-        def settle() -> None:
-            behind = direct = 0
-            for node, _ in targets:
-                behind |= reach.get(node, 0)
-                direct |= 1 << node
-            trace, tile = group
-            base = tile * half
-            found.extend((trace, source, node + base) for node, judged in targets if judged and behind >> node & 1)
-            reach[source - base] = behind | direct
-
-        for batch in batches:
-            columns = (batch[c].tolist() for c in ("trace_id", "tile", "src", "tgt", "judged"))
-            for trace, tile, src, tgt, judged in zip(*columns, strict=True):
-                if group != (trace, tile) or src != source:
-                    if targets:
-                        settle()
-                    if group != (trace, tile):
-                        group, reach = (trace, tile), {}
-                    source, targets = src, []
-                targets.append((tgt - tile * half, judged))
-            if found:
-                yield pd.DataFrame(found, columns=_PAIR)
-                found = []
-        if targets:
-            settle()
-            if found:
-                yield pd.DataFrame(found, columns=_PAIR)
-
-    return reduce_rows
-
-
 def _closure(starts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Nodes reachable from each start (one step or more) whose id stays within the start's ``bound``.
+    """Nodes reachable from each start (one step or more), for graphs of any id order.
 
     Each round extends only pairs found in the round before and drops those seen earlier.
     """
     steps = pairs.select("trace_id", F.col("src").alias("node"), F.col("tgt").alias("to"))
-    frontier = starts.select("trace_id", F.col("start").alias("start"), F.col("start").alias("node"), "bound")
+    frontier = starts.select("trace_id", F.col("start").alias("start"), F.col("start").alias("node"))
     rounds: list[DataFrame] = []
     key = ["trace_id", "start", "node"]
     while True:
-        reached = frontier.join(steps, ["trace_id", "node"]).filter("bound is null or to <= bound")
-        reached = reached.select("trace_id", "start", F.col("to").alias("node"), "bound").distinct()
+        reached = frontier.join(steps, ["trace_id", "node"])
+        reached = reached.select("trace_id", "start", F.col("to").alias("node")).distinct()
         for earlier in rounds:
             reached = reached.join(earlier.select(*key), key, "left_anti")
         reached = cut_lineage(reached)
@@ -193,125 +140,35 @@ def _closure(starts: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select(*key)
 
 
-def redundant_pairs(pairs: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs (src, tgt) that another path of the same graph connects. ``pairs`` must be distinct and stored."""
-    disordered = pairs.filter("src >= tgt").select("trace_id").distinct()
-    disordered = cut_lineage(disordered)
-    has_disorder = not disordered.isEmpty()
-    ordered = pairs.join(disordered, "trace_id", "left_anti") if has_disorder else pairs
-
-    # Tile t holds the ids from t*half to t*half + tile; an edge is judged in the tile its source opens.
-    half = tile // 2
-    tiled = ordered.withColumn("own", F.expr(f"src div {half}"))
-    spans = F.filter(
-        F.array(
-            F.struct(F.col("own").alias("tile"), (F.col("tgt") - F.col("src") <= half).alias("judged")),
-            F.struct((F.col("own") - 1).alias("tile"), F.lit(False).alias("judged")),
-        ),
-        lambda t: (t["tile"] >= 0) & (F.col("tgt") < (t["tile"] + 2) * half),
-    )
-    tiled = tiled.select(*_PAIR, F.explode(spans).alias("t")).select(*_PAIR, "t.tile", "t.judged")
-    tasks = _python_tasks(pairs)
-    sorted_tiles = tiled.repartition(tasks, "trace_id", "tile").sortWithinPartitions("trace_id", "tile", F.col("src").desc())
-    found = sorted_tiles.mapInPandas(_tile_reducer(half), "trace_id bigint, src bigint, tgt bigint")
-
-    far = cut_lineage(ordered.filter(F.col("tgt") - F.col("src") > half))
-    if not far.isEmpty():
-        found = found.unionByName(_judge_by_closure(far, ordered, bounded=True))
-    if has_disorder:
-        rest = cut_lineage(pairs.join(disordered, "trace_id", "left_semi"))
-        found = found.unionByName(_judge_by_closure(rest, rest, bounded=False))
-    return found
-
-
-def _judge_by_closure(candidates: DataFrame, pairs: DataFrame, bounded: bool) -> DataFrame:
-    """Candidates (u, v) for which some other successor w of u reaches v."""
-    far = candidates.select("trace_id", "src", F.col("tgt").alias("goal"))
-    via = far.join(pairs, ["trace_id", "src"]).filter("tgt <> goal").withColumnRenamed("tgt", "start")
-    if bounded:
-        via = via.filter("start < goal")
-    via = cut_lineage(via)
-    bound = F.max("goal") if bounded else F.lit(None).cast("bigint")
-    starts = via.groupBy("trace_id", "start").agg(bound.alias("bound"))
-    reach = _closure(starts, pairs).withColumnRenamed("node", "goal")
+def redundant_pairs(pairs: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """Pairs (src, tgt) that another path of the same graph connects. ``pairs`` must be distinct and stored.
+
+    Recordings whose edges all lead to larger ids go through the hierarchy of tiles; others are judged by their closure.
+    """
+    disordered = cut_lineage(pairs.filter("src >= tgt").select("trace_id").distinct())
+    if disordered.isEmpty():
+        return tiles.redundant_edges(pairs, tile)
+    ordered = cut_lineage(pairs.join(disordered, "trace_id", "left_anti"))
+    rest = cut_lineage(pairs.join(disordered, "trace_id", "left_semi"))
+    return tiles.redundant_edges(ordered, tile).unionByName(_judge_by_closure(rest))
+
+
+def _judge_by_closure(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v) for which some other successor w of u reaches v."""
+    far = pairs.select("trace_id", "src", F.col("tgt").alias("goal"))
+    via = cut_lineage(far.join(pairs, ["trace_id", "src"]).filter("tgt <> goal").withColumnRenamed("tgt", "start"))
+    reach = _closure(via.select("trace_id", "start").distinct(), pairs).withColumnRenamed("node", "goal")
     hit = via.join(reach, ["trace_id", "start", "goal"], "left_semi")
     return hit.select("trace_id", "src", F.col("goal").alias("tgt")).distinct()
 
 
-def transitive_reduction(edges: DataFrame, tile: int = TILE) -> DataFrame:
+def transitive_reduction(edges: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """Edges that no other path implies, judged on the whole edge set at once."""
     edges = cut_lineage(edges)
     pairs = cut_lineage(edges.select(*_PAIR).distinct())
     return edges.join(redundant_pairs(pairs, tile), _PAIR, "left_anti")
 
 
-def _longest_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Longest path lengths along sorted edges. Rows: trace_id, src, tgt or null with a known length.
-
-    Only the lengths of the current recording's block are held. Emits a row per edge that leaves the block and one row
-    (null target) with the recording's longest length so far.
-    """
-    length: dict[int, int] = {}
-    current, longest, out = None, 0, []
-    for batch in batches:
-        columns = (batch[c].tolist() for c in ("trace_id", "src", "tgt", "length", "leaves"))
-        for trace, src, tgt, known, leaves in zip(*columns, strict=True):
-            if trace != current:
-                if current is not None:
-                    out.append((current, None, longest))
-                current, longest, length = trace, 0, {}
-            if known >= 0:
-                length[src] = max(length.get(src, 0), known)
-                continue
-            reached = length.get(src, 0) + 1
-            longest = max(longest, reached)
-            if leaves:
-                out.append((trace, tgt, reached))
-            elif reached > length.get(tgt, 0):
-                length[tgt] = reached
-        if len(out) > 10000:
-            yield _length_rows(out)
-            out = []
-    if current is not None:
-        out.append((current, None, longest))
-        yield _length_rows(out)
-
-
-def _length_rows(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["trace_id", "node", "length"])
-    return frame.astype({"node": "Int64", "length": "int64"})
-
-
-def _longest_ordered(pairs: DataFrame, block: int) -> DataFrame:
-    """Longest path per recording for graphs whose ids are in topological order, one sweep over id blocks."""
-    last = pairs.agg(F.max(F.expr(f"src div {block}"))).first()[0] or 0
-    results: list[DataFrame] = []
-    carried: DataFrame | None = None
-    for number in range(last + 1):
-        inside = pairs.filter((F.col("src") >= number * block) & (F.col("src") < (number + 1) * block))
-        rows = inside.select(
-            *_PAIR, F.lit(-1).cast("bigint").alias("length"), (F.col("tgt") >= (number + 1) * block).alias("leaves")
-        )
-        if carried is not None:
-            here = carried.filter((F.col("node") >= number * block) & (F.col("node") < (number + 1) * block))
-            known = here.select(
-                "trace_id", F.col("node").alias("src"), F.lit(None).cast("bigint").alias("tgt"), "length", F.lit(False).alias("leaves")
-            )
-            rows = rows.unionByName(known)
-        swept = rows.repartition(_python_tasks(pairs), "trace_id").sortWithinPartitions("trace_id", "src", F.col("length").desc())
-        swept = swept.mapInPandas(_longest_in_block, "trace_id bigint, node bigint, length bigint")
-        if number < last:
-            swept = cut_lineage(swept)
-            leaving = swept.filter("node is not null")
-            carried = leaving if carried is None else carried.filter(F.col("node") >= (number + 1) * block).unionByName(leaving)
-            carried = cut_lineage(carried.groupBy("trace_id", "node").agg(F.max("length").alias("length")))
-        results.append(swept.filter("node is null").select("trace_id", "length"))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("trace_id").agg(F.max("length").alias("critical_path_length"))
-
-
 def _peel(pairs: DataFrame) -> DataFrame:
     """General graphs: remove nodes without incoming edges round by round. Adds is_dag and the longest length."""
     rest, number = pairs, 0
@@ -333,14 +190,14 @@ def _peel(pairs: DataFrame) -> DataFrame:
     return out.select("trace_id", "critical_path_length", F.coalesce("acyclic", F.lit(True)).alias("is_dag"))
 
 
-def path_facts(dispatches: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+def path_facts(dispatches: DataFrame, edges: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """Per recording: number of edges on the longest path, and whether the graph has no cycle."""
     pairs = cut_lineage(edges.select(*_PAIR).distinct())
     disordered = cut_lineage(pairs.filter("src >= tgt").select("trace_id").distinct())
     if disordered.isEmpty():
-        facts = _longest_ordered(pairs, block).withColumn("is_dag", F.lit(True))
+        facts = tiles.longest_paths(pairs, tile).withColumn("is_dag", F.lit(True))
     else:
-        ordered = _longest_ordered(pairs.join(disordered, "trace_id", "left_anti"), block)
+        ordered = tiles.longest_paths(cut_lineage(pairs.join(disordered, "trace_id", "left_anti")), tile)
         general = _peel(cut_lineage(pairs.join(disordered, "trace_id", "left_semi")))
         facts = ordered.withColumn("is_dag", F.lit(True)).unionByName(general)
     traces = dispatches.select("trace_id").distinct()
