@@ -99,8 +99,11 @@ def _tokenizer(path: str):
         spec = json.load(source)
     pre = spec.get("pre_tokenizer") or {}
     plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-    special = [t["content"] for t in spec.get("added_tokens", [])]
-    plain = bool(plain) and not any(_AGREED.search(t) for t in special)
+    added = spec.get("added_tokens", [])
+    special = [t["content"] for t in added]
+    # Added tokens that take blanks along, or look at their neighbours, change the text around them.
+    wide = any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word"))
+    plain = bool(plain) and not wide and not any(_AGREED.search(t) for t in special)
     return tokenizer, plain, _latin_encoder(spec) if plain else None, special
 
 

@@ -186,7 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", span:
         raise ValueError("k must be between 1 and span")
     fps = stored(item_fingerprints(items, span, k).distinct())
     lengths = sorted(r.n for r in fps.where("n > 0").select("n").distinct().collect())  # below span
-    few = fps.select("fp").distinct().limit(filter_rows + 1).count() <= filter_rows
+    few = fps.limit(filter_rows + 1).count() <= filter_rows  # all rows, which are what is broadcast
     keep = np.sort(np.array([r.fp for r in fps.select("fp").distinct().collect()], dtype=np.int64)) if few else None
     base = stored(_document_fingerprints(docs, key, lengths, keep, span, k).withColumn("row", F.monotonically_increasing_id()))
     met = (
