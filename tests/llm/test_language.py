@@ -65,3 +65,10 @@ def test_held_out_accuracy_and_edges(spark, documents):
 def test_nothing_learned_and_no_rows(spark, documents):
     assert [(r.lang_pred, r.score) for r in language.report(documents([(1, "some words", None)])).collect()] == [("und", 0.0)]
     assert language.report(documents([])).count() == 0
+
+
+def test_columns_of_other_meaning_do_not_clash(spark, documents):
+    docs = documents(corpus())
+    plain = sorted(map(tuple, language.report(docs).collect()))
+    clashing = docs.selectExpr("*", "1 AS share", "2 AS language", "3 AS n", "4 AS hash", "5 AS count", "6 AS score")
+    assert sorted(map(tuple, language.report(clashing).collect())) == plain

@@ -31,6 +31,19 @@ def test_a_key_with_most_rows_is_spread(spark, documents):
     assert not any(b.startswith(a) for a, b in zip(shards, shards[1:], strict=False))
 
 
+def test_written_shards_hold_every_document_within_the_limit(spark, documents, tmp_path):
+    rows = [(i % 70, "x" * (i * 7 % 90)) for i in range(150)] + [(900, None), (901, "y" * 1000), (None, "z" * 40)]
+    docs = documents(rows).selectExpr("*", "1 AS shard", "2 AS n_bytes", "3 AS row")
+    directory = {r.shard: (r.shard_bytes, r.shard_rows) for r in sharding.write(docs, str(tmp_path / "out"), limit=400).collect()}
+    files = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    assert sorted(map(str, files.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    for folder in (tmp_path / "out").glob("shard*=*"):
+        texts = [r.text or "" for r in spark.read.parquet(str(folder)).collect()]
+        assert directory[folder.name.split("=")[1][1:]] == (sum(map(len, texts)), len(texts))
+        assert sum(map(len, texts)) <= 400 or len(texts) == 1
+    assert len(directory) > 10
+
+
 def test_no_rows(spark, documents):
     assert sharding.assign(documents([])).count() == 0
 

@@ -24,28 +24,37 @@ from pyspark.sql import DataFrame
 
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|select|button|iframe|object|canvas|title|math)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?:svg|canvas)\b[^>]*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|canvas|title)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<[/!?a-z][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
 _NAMED = re.compile(r"\b(?:class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<=\s)(hidden)(?=[\s/=]|$)", re.IGNORECASE)
-_TOKEN = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 
 #: Tags inside which text flows on; all others end a block.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mfenced munder mover mtable mtr mtd semantics annotation".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag is often left out; they never carry a mark.
 LOOSE = set("p li dt dd tr td th option thead tbody tfoot html body head".split())
 FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
 ARTICLE_TAGS = {"article", "main"}
-#: Words in class, id or role that mark page furniture.
+#: Headings and paragraphs hold text, whatever they are called.
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table".split())
+#: A name (class, id or role) marks page furniture if each of its parts is one of these words or of those below, and one
+#: at least is one of these. So ``cookie-notice`` and ``site-footer`` do, ``form-of-government`` and ``related-work`` do not.
 FURNITURE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent "
     "disclaimer discussion disqus footer form gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination "
     "popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe "
     "topbar widget".split()
 )
+SUPPORT_WORDS = set(
+    "area article articles author bar block body bottom box button buttons col column container content count desktop fixed float floating global "
+    "group header heading holder inner item items label large layout left link links list local main message mobile more outer page panel policy post posts "
+    "primary right row secondary section shell site slot small sticky text thread title toggle tools top unit user wrap wrapper".split()
+)
 
 
 @dataclass
@@ -79,10 +88,10 @@ class _Reader:
     def tag(self, name: str, closing: bool, rest: str) -> None:
         if name == "a":
             self.link = not closing
-        if name in INLINE and not (rest and not closing and _marked(name, rest)):
+        if name in INLINE:
             return
         self.end_block()
-        if name in VOID or name in LOOSE or name in INLINE:
+        if name in VOID or name in LOOSE:
             return
         if name not in ("a", "span"):
             self.link = False
@@ -98,17 +107,26 @@ class _Reader:
             self.open_names[name] += 1
 
 
+def _furniture(names: str) -> bool:
+    for name in names.split():
+        parts = set(_PART.findall(name))
+        if parts & FURNITURE_WORDS and parts <= FURNITURE_WORDS | SUPPORT_WORDS:
+            return True
+    return False
+
+
 def _marked(name: str, rest: str) -> bool:
     if name in ("article", "main", "body", "html") and "comment" not in rest:
         return False
+    named = name not in TEXT_TAGS
     for found in _NAMED.finditer(rest):
         if found[4]:
             return True
-        value = (found[1] or found[2] or found[3] or "").lower()
+        value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found[1] or found[2] or found[3] or "").lower()
         if found[0][:5].lower() == "style":
             if "display:none" in value.replace(" ", ""):
                 return True
-        elif FURNITURE_WORDS & set(_TOKEN.findall(value)):
+        elif named and _furniture(value):
             return True
     return False
 

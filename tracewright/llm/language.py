@@ -84,7 +84,7 @@ class Model:
 
 def learn(docs: DataFrame, per_language: int = 2000, longest: int = 5, smoothing: float = 0.5) -> Model:
     """The model from (doc_id, text, lang); see the module about the sample."""
-    known = docs.where("lang is not null and doc_id is not null and text is not null")
+    known = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null and text is not null")
     sizes = sorted(known.groupBy("lang").count().collect(), key=lambda r: (-r["count"], r["lang"]))  # one row per language
     languages = [r["lang"] for r in sizes]
     if not languages:

@@ -11,8 +11,8 @@ from tracewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Bytes of text a shard may hold.
-SHARD_BYTES = 64 << 20
+#: Bytes of text a shard may hold: small files, so that also the small tables are split.
+SHARD_BYTES = 256 << 10
 
 
 def query(function):

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import stored
+from tracewright.llm.common import free_name, stored
 
 #: Bits of a key's hash; as many further bits come from the hash of the row number.
 KEY_BITS = 60
@@ -55,23 +55,43 @@ def _directory(rows: DataFrame, depth: int, below: int, limit: int) -> DataFrame
 def assign(docs: DataFrame, key: str = "doc_id", limit: int = 128 << 20) -> DataFrame:
     """(key, n_bytes, shard, depth, shard_bytes, shard_rows), one row per row; ``shard`` is the prefix, "" for the root."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    rows = rows.select("key", "n_bytes", F.concat(key_bits("key"), key_bits("row")).alias("bits"))
+    return _named(_placed(stored(rows.withColumn("row", F.monotonically_increasing_id())), limit), key)
+
+
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """(key, n_bytes, row, shard, shard_bytes, shard_rows) for stored rows of (key, n_bytes, row)."""
+    rows = rows.select("key", "n_bytes", "row", F.concat(key_bits("key"), key_bits("row")).alias("bits"))
     total, number = rows.agg(F.sum("n_bytes"), F.count("*")).first()
     if not number:
-        return _named(rows.select("key", "n_bytes", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows")), key)
+        return rows.select("key", "n_bytes", "row", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows"))
     start = min(KEY_BITS, 2 + max(0, math.ceil(math.log2(max(1, total / limit)))))
     below, depth, out = 0, start, None
     while True:
         directory = stored(_directory(rows, depth, below, limit))
         found = rows.withColumn("cell", F.substring("bits", 1, depth)).join(directory, "cell")
-        done = found.where("shard is not null").select("key", "n_bytes", "shard", "shard_bytes", "shard_rows")
+        done = found.where("shard is not null").select("key", "n_bytes", "row", "shard", "shard_bytes", "shard_rows")
         out = done if out is None else out.unionByName(done)
         if directory.where("shard is null").isEmpty():
-            return _named(out, key)
-        rows = stored(found.where("shard is null").select("key", "n_bytes", "bits"))
+            return out
+        rows = stored(found.where("shard is null").select("key", "n_bytes", "row", "bits"))
         below, depth = depth + 1, _next_depth(depth, start)
 
 
 def _named(found: DataFrame, key: str) -> DataFrame:
     return found.select(F.col("key").alias(key), "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")
+
+
+def write(docs: DataFrame, path: str, key: str = "doc_id", limit: int = 128 << 20) -> DataFrame:
+    """Writes whole documents as Parquet, a folder ``shard=<prefix>`` each, and returns (shard, shard_bytes, shard_rows).
+
+    The prefix is written with a leading ``r``, for the root. Documents find their shard by the bits of key and row
+    number, as in ``assign``; a shard is written by one task, which its limit bounds, except for a single larger document.
+    The columns of the documents stay as they are.
+    """
+    shard, row, text_bytes = (free_name(docs, name) for name in ("shard", "row", "n_bytes"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    # The same numbers as in the stored rows: keys are told apart by them.
+    placed = _placed(rows.select(F.col(key).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col(row).alias("row")), limit)
+    found = rows.join(placed.select(F.col("row").alias(row), F.concat(F.lit("r"), F.col("shard")).alias(shard)), row)
+    found.drop(row).repartition(shard).write.partitionBy(shard).parquet(path)
+    return placed.groupBy("shard").agg(F.min("shard_bytes").alias("shard_bytes"), F.min("shard_rows").alias("shard_rows"))
