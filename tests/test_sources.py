@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import catalog, samples
+from tracewright.operators import calls, catalog, graph, samples
 from tracewright.sources import captures, exports, sinks
 
 
@@ -132,6 +132,32 @@ def test_long_chains_and_circles(spark):
     assert got == {**{(1, i): "text" for i in range(60)}, **{(2, i): None for i in range(3)}}
 
 
+def test_of_repeated_ids_the_last_counts(spark):
+    rows = [(1, 0, "a", None, "old"), (1, 1, "a", None, "new"), (1, 2, None, "a", None), (1, 3, "b", "a", None), (1, 4, "b", "a", None), (1, 5, None, "b", None)]
+    df = spark.createDataFrame(rows, "doc int, n int, id string, ref string, content string")
+    got = sorted((r.n, r.content) for r in catalog.expand_refs(df, ["doc"], ["content"], order="n").collect())
+    assert got == [(0, "old"), (1, "new"), (2, "new"), (3, "new"), (4, "new"), (5, "new")]
+    assert catalog.expand_refs(df, ["doc"], ["content"]).count() == len(rows)
+
+
+def test_captures_lead_to_a_reduced_graph(spark, tmp_path):
+    """Files to graph: recordings are named by their folder, and a call listed twice keeps its first command buffer."""
+    for name, bound in (("rec_a", [[7], [7, 8], [8, 7]]), ("rec_b", [[1], [2]])):
+        events = [{"type": "dispatch", "index": 10 * i, "encoder_idx": 0, "kernel": f"k{i}", "buffers_bound": {str(s): a for s, a in enumerate(b)}} for i, b in enumerate(bound)]
+        listed = [{"func_idx": 99, "addr": "0x1", "dispatches": [{"index": 0}, {"index": 10}]}, {"func_idx": 100, "addr": "0x2", "dispatches": [{"index": 10}]}]
+        encoders = [{"encoder_idx": 0, "command_buffer_idx": 0, "addr": "0xe", "dispatches": [{"index": 0}]}]
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "events.json").write_text(json.dumps({"events": events, "command_buffers": listed, "compute_encoders": encoders}))
+    got = captures.read_captures(spark, str(tmp_path / "*" / "events.json"))
+    assert sorted((r.trace_id, r.func_idx, r.cb_idx) for r in got.events.collect())[:3] == [("rec_a", 0, 0), ("rec_a", 10, 0), ("rec_a", 20, -1)]
+    tables = calls.dispatch_tables(got.events, got.bindings, got.encoders, got.command_buffers)
+    built = graph.build_dep_graph(tables.dispatches, tables.bindings, tables.barriers, mode="hazard")
+    assert {(r.trace_id, r.src, r.tgt) for r in built.edges.collect()} == {("rec_a", 0, 1), ("rec_a", 1, 2)}
+    report = graph.dependency_report(tables.dispatches, tables.bindings, tables.barriers, scale="kernel")
+    assert {(r.trace_id, r.critical_path_length) for r in report["summary"].collect()} == {("rec_a", 2), ("rec_b", 0)}
+    assert {r.kernel for r in report["rolled_nodes"].filter("trace_id = 'rec_a'").collect()} == {"k0", "k1", "k2"}
+
+
 def test_cells_without_header_and_equal_names(spark):
     rows = [("r", "t", 0, 0, "a", "x"), ("r", "t", 0, 1, None, "y"), ("r", "t", 0, 2, "a", "z"), ("r", "t", 1, 0, None, "w")]
     cells = spark.createDataFrame([(*row, None) for row in rows], "trace_id string, schema string, row_no long, position int, mnemonic string, text string, fmt string")

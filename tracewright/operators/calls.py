@@ -187,7 +187,7 @@ def _fallback_commits(tracked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A commit names a command buffer or, without an address, means the current one. When the named one is not open, the
     current one is closed instead. Whether a buffer is open may itself depend on such a replacement in the segment of
-    its last touch, so the closed segments are followed to a fixed point; each round only visits new ones.
+    its last touch, so the closed segments are followed along such replacements.
     """
     control = tracked.filter(F.col("touch").isNotNull() | _is(COMMIT)).select(
         "trace_id", "func_idx", "_chunk", "touch", "cur_addr",
@@ -223,20 +223,22 @@ def _fallback_commits(tracked: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = fallbacks.filter("not gone").select(
         "trace_id", F.col("last_touch.seg").alias("from_seg"), F.col("seg").alias("to_seg")
     )
-    rounds = [cut_lineage(dead)]
-    while True:
-        step = rounds[-1].withColumnRenamed("seg", "from_seg").join(edges, ["trace_id", "from_seg"])
-        reached = step.select("trace_id", F.col("to_seg").alias("seg")).distinct()
-        for earlier in rounds:
-            reached = reached.join(earlier, ["trace_id", "seg"], "left_anti")
-        reached = cut_lineage(reached)
-        if reached.isEmpty():
-            break
-        rounds.append(reached)
-    dead = rounds[0]
-    for more in rounds[1:]:
-        dead = dead.unionByName(more)
-    return history, dead
+    return history, _reached(dead, edges)
+
+
+def _reached(dead: DataFrame, edges: DataFrame) -> DataFrame:
+    """Segments that a dead one leads to, over any number of edges, the dead ones included.
+
+    A touch is closed by one commit only, so every segment has one edge at most and jumps can be doubled: after k rounds
+    a jump spans 2^k edges and all segments within 2^k edges are marked. Rounds grow with the logarithm of the longest chain.
+    """
+    dead, jumps = cut_lineage(dead), cut_lineage(edges)
+    while not dead.isEmpty() and not jumps.isEmpty():
+        step = dead.withColumnRenamed("seg", "from_seg").join(jumps, ["trace_id", "from_seg"])
+        dead = cut_lineage(dead.unionByName(step.select("trace_id", F.col("to_seg").alias("seg"))).distinct())
+        onward = jumps.select("trace_id", F.col("from_seg").alias("to_seg"), F.col("to_seg").alias("beyond"))
+        jumps = cut_lineage(jumps.join(onward, ["trace_id", "to_seg"]).select("trace_id", "from_seg", F.col("beyond").alias("to_seg")))
+    return dead
 
 
 class _Buffers(NamedTuple):

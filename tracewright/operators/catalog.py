@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright import checks
@@ -43,14 +43,20 @@ def open_trace(info: DataFrame, tables: DataFrame, entries: DataFrame) -> DataFr
 
 
 def expand_refs(
-    elements: DataFrame, keys: list[str], content: list[str], id_column: str = "id", ref_column: str = "ref"
+    elements: DataFrame, keys: list[str], content: list[str], id_column: str = "id", ref_column: str = "ref", order: str | Column | None = None
 ) -> DataFrame:
     """Elements with ``ref`` take the content of the element with that id in the same document.
 
     Chains of any length are followed by doubling the id map until no link moves; the rounds grow with the logarithm of
-    the longest chain. References that run in a circle or to an unknown id keep their own (empty) content.
+    the longest chain. References that run in a circle or to an unknown id keep their own (empty) content. Of several
+    elements with one id the last by ``order`` counts, any one of them without it.
     """
     named = elements.filter(F.col(id_column).isNotNull())
+    if order is None:
+        named = named.dropDuplicates([*keys, id_column])
+    else:
+        last = F.max_by(F.struct(ref_column, *content), order).alias("_last")
+        named = named.groupBy(*keys, id_column).agg(last).select(*keys, id_column, "_last.*")
     links = cut_lineage(
         named.filter(F.col(ref_column).isNotNull()).select(*keys, F.col(id_column).alias("_from"), F.col(ref_column).alias("_to"))
     )

@@ -40,7 +40,8 @@ def read_captures(
     events = events.withColumnsRenamed({"index": "func_idx", "threads_per_threadgroup": "threads_per_tg"})
     groups = docs.select("trace_id", F.posexplode("command_buffers").alias("cb_idx", "g"))
     members = groups.select("trace_id", F.col("cb_idx").cast("bigint"), F.explode("g.dispatches.index").alias("func_idx"))
-    # A dispatch belongs to the command buffer that lists it, else to -1.
+    # A dispatch belongs to the first command buffer that lists it, else to -1.
+    members = members.groupBy("trace_id", "func_idx").agg(F.min("cb_idx").alias("cb_idx"))
     events = events.join(members, ["trace_id", "func_idx"], "left")
     events = events.withColumn("cb_idx", F.when(F.col("type") == "dispatch", F.coalesce("cb_idx", F.lit(-1))))
     bound = events.filter("type = 'dispatch'").select("trace_id", "func_idx", F.posexplode("buffers_bound").alias("ord", "slot", "buffer_addr"))

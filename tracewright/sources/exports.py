@@ -106,7 +106,7 @@ def read_exports(spark: SparkSession, paths: str | list[str], recording: Column
         "doc", (F.col("_rows") - 1).alias("row_no"), "node_no", F.explode("f.elements").alias("e")
     ).select("doc", "row_no", "node_no", "e.*")
     elements = elements.withColumns({"src_row": F.col("row_no"), "src_idx": F.col("idx")})
-    expanded = expand_refs(elements, ["doc"], ["tag", "text", "fmt", "attrs", "src_row", "src_idx"])
+    expanded = expand_refs(elements, ["doc"], ["tag", "text", "fmt", "attrs", "src_row", "src_idx"], order=F.struct("row_no", "idx"))
     expanded = expanded.join(heads.select("doc", "node_no", "trace_id", "schema"), ["doc", "node_no"])
     columns = heads.select("trace_id", "doc", "node_no", "schema", F.posexplode("columns").alias("position", "c")).select(
         "trace_id", "doc", "node_no", "schema", "position", "c.*"
