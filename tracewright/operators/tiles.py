@@ -191,7 +191,8 @@ def _single(tables, tile: int, kind: pa.DataType) -> Callable:
         border = _Part(_integers(nodes, "node", -1), _integers(nodes, "low", _FAR), _integers(nodes, "high", -1))
         edges = table.filter(pa.compute.is_null(table.column("node")))
         src, tgt = _integers(edges, "src", -1) - base, _integers(edges, "tgt", -1) - base
-        found, redundant = tables.inside(base, tile, src, tgt, border)
+        used = int(max(tgt.max(initial=-1), (border.nodes - base).max(initial=-1))) + 1  # most recordings fill no tile
+        found, redundant = tables.inside(base, used, src, tgt, border)
         return _emitted(trace, kind, tables, number, base, base + tile, border, found, redundant)
 
     return run
