@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from tracewright.session import cut_lineage as stored
 from tracewright.session import shared_folder, ship_package
 
-__all__ = ["arrays", "components", "crc_remainder", "free_name", "read", "running_hash", "shared_folder", "span_hashes", "stored", "text_blocks", "uniform"]
+__all__ = ["arrays", "components", "crc_remainder", "free_name", "packed", "read", "running_hash", "shared_folder", "span_hashes", "stored", "text_blocks", "uniform"]
 
 #: Texts are handled in blocks of about this many characters, so that numpy works on cache-sized arrays.
 BLOCK_CHARS = 1 << 19
+#: Values that a partition of a packed table holds, 8 MB of long numbers.
+PACKED = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -45,15 +47,25 @@ def uniform(column: str | Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def packed(df: DataFrame, values: int | Column = 1) -> DataFrame:
+    """A stored table in as many partitions as its ``values`` (a row's number of them) ask for.
+
+    Small tables then feed exchanges from few tasks, and what fits into one partition needs no exchange to be joined.
+    """
+    df = stored(df)
+    total = df.agg(F.sum(values if isinstance(values, Column) else F.lit(values))).first()[0] or 0
+    return df.coalesce(max(1, -(-total // PACKED)))
+
+
+def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(id, component_id) for every id in ``edges`` (a, b: long): the smallest id that its links reach.
 
     Alternates two steps until nothing changes: every id hands its smallest neighbour to its larger neighbours, then
     links its smaller neighbours to the smallest of them. The number of rounds grows with the logarithm of the longest
     path. Minima are combined before the shuffle, and the joins are plain equi-joins that adaptive execution can split
-    at a hot id; no group is collected. Empty edges give an empty result.
+    at a hot id; no group is collected. Empty edges give an empty result. ``store`` keeps the links of a round.
     """
-    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -61,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = stored(small.where("u <> v").distinct())
+        links = store(small.where("u <> v").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
