@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators.ordered import index_chunk, number_rows, scan, time_chunk
+from tracewright.operators.ordered import index_chunk, number_rows, placed, rank_rows, scan, time_chunk
 
 
 def _rows(seed, keys=3, n=200):
@@ -49,3 +49,25 @@ def test_time_chunks_keep_order_when_one_sequence_is_crowded(spark):
     got = {(r.k, r.t): r.n for r in number_rows(chunked, ["k"], "t", "n").collect()}
     for key in (0, 1):
         assert [got[key, t] for t in sorted(t for k, t in rows if k == key)] == list(range(sum(k == key for k, _ in rows)))
+
+
+def test_ranks_where_most_rows_have_one_value(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 0, 1, None]), rng.choice([1, 1, 1, 1, 7, None]), f"n{i:04}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, w bigint, name string").repartition(5)
+    got = {r.name: (r.k, r.rank) for r in rank_rows(df, ["k"], [-F.col("w"), F.col("name")]).collect()}
+    for key in (0, 1, None):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, -(r[1] or 0), r[2]))
+        assert [got[r[2]] for r in mine] == [(key, i + 1) for i in range(len(mine))]
+    assert rank_rows(df.limit(0), ["k"], [F.col("w"), F.col("name")]).collect() == []
+
+
+def test_equal_values_are_dealt_over_ranges(spark):
+    df = spark.range(4000).select(F.lit(1).alias("w"), "id").repartition(4)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in placed(df, ["w", "id"]).groupBy(F.shiftright("_at", 33)).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(sizes) == 4 and max(sizes) < 1500

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,7 +142,37 @@ def test_samples_in_intervals_of_any_length(spark):
     points = spark.createDataFrame([(1, i, i * 10) for i in range(200)], "trace_id bigint, row_no bigint, time_ns bigint")
     rows = [(1, 0, 15, 20), (1, 1, 0, 1990), (1, 2, 500, 0), (1, 3, 777, 350), (2, 4, 0, 5000)]
     spans = spark.createDataFrame(rows, "trace_id bigint, row_no bigint, start_ns bigint, duration_ns bigint")
-    got = samples.samples_in_intervals(points, spans, bin_ns=3, salts=2, most_bins=4)
+    got = samples.samples_in_intervals(points, spans, rows=8)
     expected = {(i, n) for i in range(200) for t, n, s, d in rows if t == 1 and s <= i * 10 <= s + d}
     pairs = [(r.row_no, r.interval_row) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
+@pytest.mark.parametrize("rows", [1, 5, 64, 10000])
+def test_samples_in_intervals_where_times_crowd(spark, rows):
+    rng = random.Random(rows)
+    # A third of the samples share one instant; nested, touching, empty and backward intervals; times that are missing.
+    times = [rng.randrange(-50, 400) for _ in range(160)] + [77] * 80 + [None] * 3
+    points = [(rng.choice([1, 1, 2]), i, t, "x") for i, t in enumerate(times)]
+    spans = [(rng.choice([1, 2, 3]), i, rng.randrange(-60, 400), rng.choice([0, 1, 9, 80, 500, -5]), "kept") for i in range(60)]
+    spans += [(1, 60, 77, 0, ""), (1, 61, None, 5, ""), (1, 62, 5, None, ""), (2, 63, -1000, 5000, "")]
+    left = spark.createDataFrame(points, "trace_id bigint, row_no bigint, time_ns bigint, kind string").repartition(3)
+    right = spark.createDataFrame(spans, "trace_id bigint, row_no bigint, start_ns bigint, duration_ns bigint, ts string")
+    got = samples.samples_in_intervals(left, right, rows=rows)
+    assert got.columns == ["trace_id", "row_no", "time_ns", "kind", "interval_row", "interval_start_ns", "interval_end_ns"]
+    want = {
+        (t, i, at, "x", n, s, s + d)
+        for t, i, at, _ in points for t2, n, s, d, _ in spans
+        if t == t2 and None not in (at, s, d) and s <= at <= s + d
+    }
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_samples_in_intervals_of_empty_tables(spark):
+    points = spark.createDataFrame([], "trace_id string, row_no bigint, time_ns bigint")
+    spans = spark.createDataFrame([("a", 0, 1, 5)], "trace_id string, row_no bigint, start_ns bigint, duration_ns bigint")
+    some = spark.createDataFrame([("a", 0, 3)], points.schema)
+    assert samples.samples_in_intervals(points, spans).collect() == []
+    assert samples.samples_in_intervals(some, spans.limit(0)).collect() == []
+    assert [r.interval_row for r in samples.samples_in_intervals(some, spans).collect()] == [0]

@@ -407,13 +407,13 @@ def rollup_graph(dispatches: DataFrame, edges: DataFrame, barriers: DataFrame, s
 def ranked_edges(edges: DataFrame, scale: str) -> DataFrame:
     """Rolled-up edges with their rank per recording: heaviest first, then by source and target group."""
     group = {"cb": "cb_idx", "encoder": "encoder_idx", "kernel": "kernel"}[checks.choice("scale", scale, SCALES)]
-    return rank_rows(edges, ["trace_id"], -F.col("weight"), [F.col(f"src_{group}"), F.col(f"tgt_{group}")])
+    return rank_rows(edges, ["trace_id"], [-F.col("weight"), F.col(f"src_{group}"), F.col(f"tgt_{group}")])
 
 
 def ranked_nodes(nodes: DataFrame, scale: str) -> DataFrame:
     """Rolled-up groups with their rank per recording: most dispatches first, then by group."""
     group = {"cb": "cb_idx", "encoder": "encoder_idx", "kernel": "kernel"}[checks.choice("scale", scale, SCALES)]
-    return rank_rows(nodes, ["trace_id"], -F.col("dispatch_count"), [F.col(group)])
+    return rank_rows(nodes, ["trace_id"], [-F.col("dispatch_count"), F.col(group)])
 
 
 def node_labels(nodes: DataFrame, scale: str) -> DataFrame:

@@ -25,6 +25,10 @@ def index_chunk(index: str | Column, rows: int = CHUNK) -> Column:
 
 
 _CUTS, _BLOCK = 1024, 32
+#: Position of the range number in ``monotonically_increasing_id``.
+_RANGE_BITS = 33
+#: Numbers in one array of ``each_between``.
+_SPAN = 4096
 
 
 def time_chunk(df: DataFrame, keys: Sequence[str], ts: str, rows: int = CHUNK) -> DataFrame:
@@ -133,12 +137,50 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str, chunk
     return scan(df, keys, order, chunk, sums_before={name: F.lit(1).cast("bigint")})
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], place: Column, ties: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Rank from 1 within ``keys`` by ``place`` (a BIGINT), then ``ties``, which must settle the order.
+def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``_at``, which rises along ``order`` over the whole table: partition number, then position within it.
 
-    Counted over chunks of the order, so that no long sequence sits in one task.
+    One shuffle into ranges of ``order`` and a sort within them. ``order`` should settle ties, so that even equal values
+    are dealt over many ranges. Stored, because a range that is computed anew may be numbered otherwise.
     """
-    order = F.struct("_place", *[tie.alias(f"tie{i}") for i, tie in enumerate(ties)])
-    rows = time_chunk(df.withColumn("_place", place.cast("bigint")).withColumn("_order", order), keys, "_place")
-    numbered = number_rows(rows, keys, "_order", "_position")
-    return numbered.select(*df.columns, (F.col("_position") + 1).alias(name))
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut_lineage(ranges.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def at_range(at: str = "_at") -> Column:
+    """The range of a row of ``placed``."""
+    return F.shiftright(at, _RANGE_BITS)
+
+
+def at_cell(rows: int, at: str = "_at") -> Column:
+    """Number of the cell of ``rows`` rows within the range."""
+    return F.floor((F.col(at) - F.shiftleft(at_range(at), _RANGE_BITS)) / F.lit(rows)).cast("bigint")
+
+
+def each_between(df: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """One row per number ``name`` from ``first`` to ``last``, in two steps of bounded arrays."""
+    blocks = F.sequence(F.expr(f"{first} div {_SPAN}"), F.expr(f"{last} div {_SPAN}"))
+    blocked = df.filter(F.col(last) >= F.col(first)).withColumn("_block", F.explode(blocks))
+    low = F.greatest(F.col(first), F.col("_block") * F.lit(_SPAN))
+    high = F.least(F.col(last), F.col("_block") * F.lit(_SPAN) + F.lit(_SPAN - 1))
+    return blocked.withColumn(name, F.explode(F.sequence(low, high))).drop("_block")
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Rank from 1 within ``keys`` along ``order``, ascending with nulls first; its last columns must settle ties.
+
+    Rows are dealt into ranges of the whole order, ties included, so a million rows of one value share no task. A range
+    hands on the number of its rows; there is one such row per key and range that meet.
+    """
+    by = [f"_by{i}" for i in range(len(order))]
+    rows = placed(df.withColumns(dict(zip(by, order, strict=True))), [*keys, *by]).drop(*by).withColumn("_range", at_range())
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy(*keys, "_range").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_rows"))
+    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_from") + 1
+    pieces = pieces.select(
+        *[F.col(key).alias(f"_key{i}") for i, key in enumerate(keys)], F.col("_range").alias("_piece"), shift.alias("_shift")
+    )
+    same = F.col("_range") == F.col("_piece")
+    for i, key in enumerate(keys):
+        same &= F.col(key).eqNullSafe(F.col(f"_key{i}"))
+    return rows.join(pieces, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

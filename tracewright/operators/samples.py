@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright import checks
 from tracewright.functions import numeric, text
+from tracewright.operators.ordered import at_cell, at_range, each_between, placed
 
 
 def time_range(df: DataFrame, column: str = "time_ns", start_ns: int | None = None, end_ns: int | None = None):
@@ -132,43 +133,55 @@ def threads(samples: DataFrame) -> DataFrame:
     return firsts.select("trace_id", "tid", *seen, "first_row")
 
 
-def samples_in_intervals(
-    samples: DataFrame, intervals: DataFrame, bin_ns: int, salts: int = 8, most_bins: int = 64
-) -> DataFrame:
+def samples_in_intervals(samples: DataFrame, intervals: DataFrame, rows: int = 256) -> DataFrame:
     """Every (sample, interval) pair with the sample inside the interval, both ends inclusive.
 
-    Equi-join on time bins with an exact residual filter. Intervals spanning more than ``most_bins`` bins meet the
-    samples on proportionally coarser bins, so no interval is copied more than ``most_bins + 1`` times per salt;
-    samples are salted by row so a crowded bin is shared by ``salts`` tasks.
+    Samples and both ends of all intervals are laid out in one order of time and cut into cells of ``rows`` of them,
+    wherever times crowd. Cells that hold samples are numbered; an interval is open in those from its start's to its
+    end's. Every cell but these two lies inside the interval, so a copy of an interval beyond them is never without
+    results. In a cell, at most ``rows`` samples meet the intervals open there. Only keys and times are laid out;
+    ``row_no`` must tell the rows of a recording apart. Rows without a time and intervals that end before they start
+    match nothing.
     """
-    checks.in_range("bin_ns", bin_ns, 1)
-    points = samples.withColumn("_salt", F.pmod(F.xxhash64("row_no"), F.lit(salts)).cast("int"))
+    checks.in_range("rows", rows, 1)
     spans = intervals.select(
         "trace_id",
-        F.col("row_no").alias("interval_row"),
+        "row_no",
         F.col("start_ns").alias("interval_start_ns"),
         (F.col("start_ns") + F.col("duration_ns")).alias("interval_end_ns"),
+    ).filter("interval_end_ns >= interval_start_ns")
+    # At equal times starts come before samples and samples before ends.
+    begin = F.struct(F.col("interval_start_ns").alias("ts"), F.lit(0).alias("kind"))
+    end = F.struct(F.col("interval_end_ns").alias("ts"), F.lit(2).alias("kind"))
+    ends = spans.select("trace_id", "row_no", F.inline(F.array(begin, end)))
+    points = samples.select("trace_id", "row_no", F.col("time_ns").alias("ts"), F.lit(1).alias("kind"))
+    # Samples before the first and behind the last interval of their recording stay where they are.
+    reach = spans.groupBy("trace_id").agg(F.min("interval_start_ns").alias("_lo"), F.max("interval_end_ns").alias("_hi"))
+    points = points.join(reach, "trace_id").filter("ts between _lo and _hi").drop("_lo", "_hi")
+    laid = placed(points.unionByName(ends), ["trace_id", "ts", "kind", "row_no"])
+    laid = laid.withColumn("_range", at_range()).withColumn("_cell", at_cell(rows))
+
+    # Number of cells with samples up to each cell: counted per range, carried by one row per range.
+    cells = laid.groupBy("_range", "_cell").agg(F.max(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("_holds"))
+    upto = Window.partitionBy("_range").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.groupBy("_range").agg(F.sum("_holds").alias("_held"))
+    carried = carried.select("_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_carry"))
+    cells = cells.withColumn("_upto", F.sum("_holds").over(upto)).join(carried, "_range")
+    cells = cells.select("_range", "_cell", "_holds", (F.col("_upto") + F.col("_carry")).alias("_slot"))
+    laid = laid.join(cells, ["_range", "_cell"])
+
+    starts, stops = F.col("kind") == 0, F.col("kind") == 2
+    open_in = laid.filter("kind <> 1").groupBy("trace_id", F.col("row_no").alias("interval_row")).agg(
+        F.min(F.when(starts, F.col("ts"))).alias("interval_start_ns"),
+        F.max(F.when(stops, F.col("ts"))).alias("interval_end_ns"),
+        F.min(F.when(starts, F.col("_slot") - F.col("_holds") + 1)).alias("_first"),
+        F.max(F.when(stops, F.col("_slot"))).alias("_last"),
     )
-    # Level 0 has the given bin width, each level is most_bins times wider; an interval takes the finest that fits.
-    widths = [bin_ns]
-    while widths[-1] * most_bins < 1 << 62:
-        widths.append(widths[-1] * most_bins)
-    length = F.col("interval_end_ns") - F.col("interval_start_ns")
-    level = F.coalesce(
-        *[F.when(length <= F.lit(w * most_bins), F.lit(i)) for i, w in enumerate(widths[:-1])], F.lit(len(widths) - 1)
-    )
-    spans = spans.withColumn("_level", level)
-    spans = spans.withColumn("_width", F.element_at(F.array(*[F.lit(w).cast("bigint") for w in widths]), F.col("_level") + 1))
-    bins = F.sequence(F.expr("interval_start_ns div _width"), F.expr("interval_end_ns div _width"))
-    spans = spans.withColumn("_bin", F.explode(bins)).withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    )
-    # Samples only visit the levels that occur in their own recording.
-    levels = spans.select("trace_id", "_level", "_width").distinct()
-    points = points.join(levels, "trace_id").withColumn("_bin", F.expr("time_ns div _width")).drop("_width")
-    joined = points.join(spans.drop("_width"), ["trace_id", "_level", "_bin", "_salt"])
-    inside = (F.col("time_ns") >= F.col("interval_start_ns")) & (F.col("time_ns") <= F.col("interval_end_ns"))
-    return joined.filter(inside).drop("_level", "_bin", "_salt")
+    copies = each_between(open_in, "_first", "_last", "_slot").drop("_first", "_last")
+    met = laid.filter("kind = 1").select("trace_id", "row_no", "ts", "_slot").join(copies, ["trace_id", "_slot"])
+    inside = met.filter("ts between interval_start_ns and interval_end_ns").drop("ts", "_slot")
+    return samples.join(inside, ["trace_id", "row_no"])
 
 
 def first_available(df: DataFrame, source: str, order: tuple[str, ...]) -> DataFrame:

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from tracewright import checks
 from tracewright.functions import numeric, text
 from tracewright.operators import samples as sample_ops
-from tracewright.operators.ordered import index_chunk, scan
+from tracewright.operators.ordered import each_between, index_chunk, scan
 from tracewright.session import cut_lineage
 
 _MS = 1_000_000
-# Buckets exploded per step; longer runs are cut into blocks first so no array grows with the interval.
-_BLOCK = 4096
 
 
 class Timeline(NamedTuple):
@@ -56,15 +54,6 @@ def bucket_plan(extent: DataFrame, num_buckets: int | None = None, bucket_ms: fl
     )
 
 
-def _each_bucket(df: DataFrame, first: str, last: str) -> DataFrame:
-    """One row per bucket number from ``first`` to ``last``, in two steps of bounded arrays."""
-    blocks = F.sequence(F.expr(f"{first} div {_BLOCK}"), F.expr(f"{last} div {_BLOCK}"))
-    blocked = df.filter(F.col(last) >= F.col(first)).withColumn("_block", F.explode(blocks))
-    low = F.greatest(F.col(first), F.col("_block") * F.lit(_BLOCK))
-    high = F.least(F.col(last), F.col("_block") * F.lit(_BLOCK) + F.lit(_BLOCK - 1))
-    return blocked.withColumn("bucket", F.explode(F.sequence(low, high))).drop("_block")
-
-
 def spread_intervals(gpu: DataFrame, plan: DataFrame) -> DataFrame:
     """Each interval's overlap with every bucket it touches; buckets behind the last one are cut off."""
     placed = gpu.join(plan.select("trace_id", "t_min", "width", "n_buckets"), "trace_id")
@@ -73,7 +62,7 @@ def spread_intervals(gpu: DataFrame, plan: DataFrame) -> DataFrame:
     placed = placed.withColumn(
         "_last", F.least(numeric.bucket_index("end_ns", "t_min", "width"), F.col("n_buckets") - F.lit(1))
     )
-    rows = _each_bucket(placed, "_first", "_last")
+    rows = each_between(placed, "_first", "_last", "bucket")
     begin = F.col("t_min") + F.col("bucket") * F.col("width")
     overlap = F.least(F.col("end_ns"), begin + F.col("width")) - F.greatest(F.col("start_ns"), begin)
     rows = rows.withColumn("overlap_ns", overlap).filter("overlap_ns > 0")
@@ -105,7 +94,7 @@ def _dense_buckets(plan: DataFrame) -> DataFrame:
     """Every bucket of every recording but a last one shorter than a tenth of the width."""
     ends = plan.withColumn("_zero", F.lit(0).cast("bigint")).withColumn("_end", F.col("n_buckets") - 1)
     start = F.col("t_min") + F.col("bucket") * F.col("width")
-    dense = _each_bucket(ends, "_zero", "_end").select(
+    dense = each_between(ends, "_zero", "_end", "bucket").select(
         "trace_id",
         "bucket",
         "width",

@@ -118,7 +118,6 @@ def samples_in_hangs(spark, sf):
     pairs = samples.samples_in_intervals(
         adapters.cpu_samples(spark, sf).select("trace_id", "row_no", "time_ns", "weight"),
         adapters.hangs(spark, sf),
-        bin_ns=3_600_000_000_000,
     )
     return pairs.select("trace_id", "row_no", "interval_row", "weight")
 
