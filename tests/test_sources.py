@@ -226,3 +226,16 @@ def test_trace_event_documents(spark, tmp_path):
     edges = spark.createDataFrame([(1, 0, 1, 255)], "trace_id bigint, src bigint, tgt bigint, buffer_addr bigint")
     sinks.write_dep_graph({"edges": edges}, str(tmp_path / "graph"))
     assert spark.read.json(str(tmp_path / "graph" / "edges")).select(F.col("buffer")).first().buffer == "0xff"
+
+
+def test_many_recordings_share_event_files(spark, tmp_path):
+    fields = "trace_id bigint, name string, ts bigint, args string"
+    rows = [(t, f"e{i}", 100 - i, '{"n":1}' if i % 2 else None) for t in [*range(300), None] for i in range(4)]
+    sinks.write_trace_events(spark.createDataFrame(rows, fields), str(tmp_path / "out"), folders=False)
+    files = sorted((tmp_path / "out").rglob("part-*"))
+    assert 0 < len(files) < 100
+    lines = [json.loads(line) for file in files for line in file.read_text().splitlines()]
+    order = [(e.get("trace_id", -1), e["ts"]) for e in lines]
+    assert order == sorted(order)
+    found = {(e.get("trace_id"), e["name"], e["ts"], json.dumps(e["args"], separators=(",", ":")) if "args" in e else None) for e in lines}
+    assert found == set(rows) and len(lines) == len(rows)

@@ -15,22 +15,30 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", mode: st
     df.write.mode(mode).format(file_format).save(path)
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """(trace_id, ts, value): every event as one JSON object; ``args`` already is JSON text and becomes an object."""
-    fields = [c for c in events.columns if c not in ("trace_id", "args")]
+def event_lines(events: DataFrame, named: bool = False) -> DataFrame:
+    """(trace_id, ts, value): every event as one JSON object; ``args`` already is JSON text and becomes an object.
+
+    ``named`` objects hold the recording as their field ``trace_id``, too.
+    """
+    fields = [c for c in events.columns if c != "args" and (named or c != "trace_id")]
     head = events.withColumn("_head", F.to_json(F.struct(*fields)))
     args = F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"args":'), "args", F.lit("}"))
     return head.select("trace_id", "ts", F.when(F.col("args").isNotNull(), args).otherwise(F.col("_head")).alias("value"))
 
 
-def write_trace_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_trace_events(events: DataFrame, path: str, mode: str = "errorifexists", folders: bool = True) -> None:
     """One folder per recording with one event per line in time order, names and other events without a time first.
 
     The rows are dealt out by ranges of (recording, time), so a recording of any size is spread over files that follow
-    one another, and none of it stands in one task or list.
+    one another, and none of it stands in one task or list. Without ``folders`` these ranges are the files and every line
+    names its recording: the same lines in the same order, in as many files as there are tasks. Many small recordings
+    want that, since a folder and a file for each cost far more than their events.
     """
-    placed = event_lines(events).repartitionByRange("trace_id", "ts").sortWithinPartitions("trace_id", "ts", "value")
-    placed.select("trace_id", "value").write.mode(mode).partitionBy("trace_id").text(path)
+    placed = event_lines(events, named=not folders).repartitionByRange("trace_id", "ts").sortWithinPartitions("trace_id", "ts", "value")
+    if folders:
+        placed.select("trace_id", "value").write.mode(mode).partitionBy("trace_id").text(path)
+    else:
+        placed.select("value").write.mode(mode).text(path)
 
 
 def write_dep_graph(tables: dict[str, DataFrame], path: str, file_format: str = "json", mode: str = "errorifexists") -> None:
