@@ -200,6 +200,33 @@ def test_number_of_jobs_follows_the_levels_and_not_the_path(spark):
     assert jobs[64] <= jobs[128] <= jobs[64] + 6 and jobs[1024] <= jobs[128] + 6
 
 
+def test_small_recordings_are_judged_together(spark, monkeypatch):
+    """Recordings below 64 ids share calls, across Arrow batches and beside wider ones; no recording has a call of its own."""
+    rng = random.Random(8)
+    graphs = {}
+    for t in [*range(250), None]:
+        last = 63 if t == 0 else 200 if t == 1 else rng.randint(1, 20)
+        ends = [sorted(rng.sample(range(last + 1), 2)) for _ in range(3 * last)]
+        graphs[t] = {(a, b) for a, b in ends} | {(0, last)}
+    stored = graph.cut_lineage(spark.createDataFrame([(t, *p) for t, pairs in graphs.items() for p in pairs], "trace_id bigint, src bigint, tgt bigint"))
+    wide = []
+    hierarchy = tiles._hierarchy
+    monkeypatch.setattr(tiles, "_hierarchy", lambda pairs, *rest: wide.append({r[0] for r in pairs.collect()}) or hierarchy(pairs, *rest))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        redundant = {tuple(r) for r in tiles.redundant_edges(stored).collect()}
+        longest = {r[0]: r[1] for r in tiles.longest_paths(stored).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert wide == [{1}, {1}]
+    assert redundant == {(t, *p) for t, pairs in graphs.items() for p in _redundant(pairs)}
+    for t, pairs in graphs.items():
+        best = {}
+        for a, b in sorted(pairs):
+            best[b] = max(best.get(b, 0), best.get(a, 0) + 1)
+        assert longest[t] == max(best.values())
+
+
 def test_reduced_graph_of_named_recordings(spark):
     ddl = "trace_id string, dispatch_id bigint, ord int, buffer_index int, buffer_addr bigint, access_mode string"
     rows = [("rec_a", d, i, i, addr, "UNKNOWN") for d, bound in enumerate([[7], [7, 8], [8, 7]]) for i, addr in enumerate(bound)]
