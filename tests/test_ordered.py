@@ -71,3 +71,16 @@ def test_equal_values_are_dealt_over_ranges(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     assert len(sizes) == 4 and max(sizes) < 1500
+
+
+def test_rows_of_one_chunk_need_no_carry_side(spark):
+    """Short sequences are scanned alone; chunks that differ are carried over."""
+    rows = spark.createDataFrame([(k, pos, 10 * k + pos) for k in range(3) for pos in range(4)], "k int, pos bigint, v int")
+    values = {"sums_before": {"n": F.lit(1)}, "last_before": {"v0": F.col("v")}, "next_after": {"v1": F.col("v")}}
+    expected = {(k, p, p, 10 * k + p - 1 if p else None, 10 * k + p + 1 if p < 3 else None) for k in range(3) for p in range(4)}
+    chunks = {False: [index_chunk("pos"), F.lit(None).cast("bigint")], True: [index_chunk("pos", 2)]}
+    for joins, columns in chunks.items():
+        for chunk in columns:
+            found = scan(rows, ["k"], "pos", chunk, **values)
+            assert {(r.k, r.pos, r.n, r.v0, r.v1) for r in found.collect()} == expected
+            assert ("Join" in found._jdf.queryExecution().analyzed().toString()) == joins

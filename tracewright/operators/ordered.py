@@ -2,8 +2,8 @@
 
 A plain window over ``trace_id`` would put one recording into one task. Here each sequence is cut into chunks of its
 order key. Windows run per (keys, chunk); one small row per chunk carries running sums and nearest values across the
-chunk borders. Only sequences with more than one chunk produce carry rows, so on ordinary recordings the carry side is
-empty and adaptive execution removes the join.
+chunk borders. Only sequences with more than one chunk produce carry rows. Tables of ordinary recordings have one chunk
+number in all; a look at it then spares the carry side, which would group the whole table to find no row.
 """
 
 from __future__ import annotations
@@ -54,6 +54,12 @@ def time_chunk(df: DataFrame, keys: Sequence[str], ts: str, rows: int = CHUNK) -
     return cut_lineage(chunked)
 
 
+def _one_chunk(df: DataFrame) -> bool:
+    """Whether all rows share a chunk, so that no sequence has a border to carry values over."""
+    found = df.agg(F.min("_chunk").alias("low"), F.max("_chunk").alias("high"), F.count("_chunk").alias("known"), F.count(F.lit(1)).alias("rows")).first()
+    return found.known == 0 or (found.low == found.high and found.known == found.rows)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,8 +78,8 @@ def scan(
     ``sums`` include the row, ``sums_before`` do not. ``last`` and ``last_before`` give the latest non-null value up to
     or before the row, ``next_after`` the first non-null value behind it. With ``chunk`` None the frame must already
     carry ``_chunk`` and keeps it, so a following scan needs no new shuffle. ``bounded`` says that no sequence is longer
-    than one chunk, which drops the carry side. The input is read twice otherwise, so it should be a stored table or a
-    frame whose lineage was cut.
+    than one chunk, which drops the carry side; so does a look at the chunks themselves if there is only one. The input is
+    read more than once otherwise, so it should be a stored table or a frame whose lineage was cut.
     """
     sums, sums_before = dict(sums or {}), dict(sums_before or {})
     last, last_before, next_after = dict(last or {}), dict(last_before or {}), dict(next_after or {})
@@ -86,6 +92,7 @@ def scan(
         inputs["_chunk"] = F.lit(0).cast("bigint")
     base = df.withColumns(inputs)
     part = [*keys, "_chunk"]
+    bounded = bounded or _one_chunk(base)
 
     whole = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
