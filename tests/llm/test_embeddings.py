@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tracewright.llm import embeddings
+from tracewright.llm.common import Shelf
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -66,3 +67,59 @@ def test_tree_covers_its_points():
         below = tree.below(node)
         assert embeddings._distances(points[below], points[tree.centre[node] : tree.centre[node] + 1]).max() <= tree.radius[node] + 1e-9
         assert not tree.children[node] or sorted(below) == sorted(x for c in tree.children[node] for x in tree.below(c))
+
+
+def test_size_guess_does_not_grow_with_the_levels(spark, monkeypatch):
+    """Each level halves its radius, and the planner's guess of a table's bytes was raised to a power at each of them."""
+    rng = np.random.default_rng(5)
+    near = np.eye(8)[0] + 0.5 ** np.arange(1, 12).repeat(4)[:, None] * rng.normal(size=(44, 8))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(near)]
+    digits, kept = [], embeddings.stored
+
+    def watched(df):
+        digits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        assert digits[-1] < 2000
+        return kept(df)
+
+    monkeypatch.setattr(embeddings, "stored", watched)
+    found = embeddings.near_copies(spark.createDataFrame(rows, SCHEMA), leaf_rows=4).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == plain(rows)
+    assert len(digits) > 12
+
+
+def test_shelf_keeps_tables_until_cleared(spark):
+    shelf = Shelf(spark)
+    first, second = shelf.put(spark.range(3)), shelf.put(spark.range(0))
+    assert (first.count(), second.count(), second.dtypes) == (3, 0, [("id", "bigint")])
+    shelf.clear(keep=1)
+    assert len(shelf.paths) == 1 and second.count() == 0
+    shelf.clear()
+    assert shelf.paths == []
+
+
+def test_tiles_of_few_cells_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 8 * 60)
+    rows = clouds(4)
+    found = embeddings.near_copies(spark.createDataFrame(rows, SCHEMA), leaf_rows=20).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == plain(rows)
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.1, 0.3])
+def test_traversal_equals_all_pairs(noise):
+    """Whole, partly and hardly linked clouds, as one tree and as two; spanning links connect what links connect."""
+    rng = np.random.default_rng(9)
+    points = embeddings._unit(np.eye(16)[rng.integers(0, 3, 400)] + noise * rng.normal(size=(400, 16)))
+    weights = rng.integers(1, 4, 400)
+    for cut in (400, 150):
+        a, b = embeddings.Tree(points[:cut]), embeddings.Tree(points[cut:]) if cut < 400 else None
+        found = embeddings.traverse(a, b or a, weights[:cut], weights[cut:] if b else weights, 0.93)
+        linked = points @ points.T >= 0.93
+        np.fill_diagonal(linked, False)
+        if b:
+            linked[:cut, :cut] = linked[cut:, cut:] = False
+        assert found.counts.tolist() == (linked @ weights).tolist()
+        assert all(linked[x, y] for x, y in found.spanning)
+        group = np.arange(400)
+        while (least := np.minimum(group, np.where(linked, group, 400).min(axis=1))).tolist() != group.tolist():
+            group = least
+        assert len(found.spanning) == 400 - len(set(group.tolist()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tracewright.session import cut_lineage as stored
 from tracewright.session import shared_folder, ship_package
 
-__all__ = ["arrays", "components", "crc_remainder", "free_name", "packed", "read", "running_hash", "shared_folder", "span_hashes", "stored", "text_blocks", "uniform"]
+__all__ = ["Shelf", "arrays", "components", "crc_remainder", "free_name", "packed", "read", "running_hash", "shared_folder", "span_hashes", "stored", "text_blocks", "uniform"]
 
 #: Texts are handled in blocks of about this many characters, so that numpy works on cache-sized arrays.
 BLOCK_CHARS = 1 << 19
@@ -57,6 +59,29 @@ def packed(df: DataFrame, values: int | Column = 1) -> DataFrame:
     return df.coalesce(max(1, -(-total // PACKED)))
 
 
+class Shelf:
+    """Tables kept as files of the shared folder, for loops whose rounds join what the round before has made.
+
+    The planner takes the product of both sides as the size of a join, and a checkpoint keeps that guess. Round by round
+    it is raised to a power, until its digits alone fill the driver. The size of files is read anew.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, posixpath.join(shared_folder(spark), f"shelf-{uuid.uuid4().hex}"), []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = posixpath.join(self.folder, uuid.uuid4().hex)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Frees the disk of all tables but the ``keep`` put last; nothing may read them any more."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for path in gone:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(id, component_id) for every id in ``edges`` (a, b: long): the smallest id that its links reach.
 

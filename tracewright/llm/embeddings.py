@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, stored, uniform
+from tracewright.llm.common import Shelf, components, stored, uniform
 
 #: Bounds decide only beyond this margin; closer calls are left to the comparison of the points.
 MARGIN = 1e-6
 BUCKET = 24
 CENTRES = 32
 BLOCK = 256
+#: Numbers of the vectors of one tile, 16 MB of them; cells are compared by pairs of tiles.
+TILE = 1 << 21
 NODE = "node string, parent string, label int, dim int, centre array<double>, radius double, leaf boolean"
 
 
@@ -144,10 +146,33 @@ class Links:
         self.counts[a] += linked @ self.weights[1][b]
         if not one_node:
             self.counts[b + self.offset] += linked.T @ self.weights[0][a]
-        for x, y in zip(*np.nonzero(linked), strict=True):
+        for x, y in _forest(linked):
             self._join(int(a[x]), int(b[y]) + self.offset)
 
 
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that connect what all links of the matrix connect; fewer than it has rows and columns."""
+    if np.count_nonzero(linked) <= sum(linked.shape):
+        return list(zip(*(x.tolist() for x in np.nonzero(linked)), strict=True))
+    out, fresh, seen = [], np.ones(linked.shape[1], dtype=bool), ~linked.any(axis=1)
+    for first in range(len(linked)):
+        stack = [] if seen[first] else [first]
+        seen[first] = True
+        while stack:
+            x = stack.pop()
+            met = np.flatnonzero(linked[x] & fresh)
+            if not len(met):
+                continue
+            fresh[met] = False
+            out += [(x, y) for y in met.tolist()]
+            shared = linked[:, met]
+            rows = np.flatnonzero(shared.any(axis=1) & ~seen)
+            seen[rows] = True
+            out += zip(rows.tolist(), met[shared[rows].argmax(axis=1)].tolist(), strict=True)
+            stack += rows.tolist()
+    return out
+
+
 def traverse(left: Tree, right: Tree, weights_a: np.ndarray, weights_b: np.ndarray, threshold: float) -> Links:
     """Links at a cosine of ``threshold`` or more between two trees, or inside one if both are the same object."""
     same = left is right
@@ -167,6 +192,14 @@ def traverse(left: Tree, right: Tree, weights_a: np.ndarray, weights_b: np.ndarr
         open_pairs = apart - reach <= limit + MARGIN
         if one:
             open_pairs &= np.tri(len(below_a), dtype=bool).T  # each pair of children once
+        # Children without children are compared as one block.
+        ends_a, ends_b = (np.array([not tree.children[i] for i in below]) for tree, below in ((left, below_a), (right, below_b)))
+        ends = open_pairs & ends_a[:, None] & ends_b[None, :]
+        if ends.any():
+            rows, columns = (np.flatnonzero(ends_a if one else ends.any(axis=axis)) for axis in (1, 0))
+            p, q = (np.concatenate([tree.below(below[i]) for i in at]) for tree, below, at in ((left, below_a, rows), (right, below_b, columns)))
+            links.some_pairs(p, q, left.points[p] @ right.points[q].T >= threshold, one)
+            open_pairs &= ~ends
         for i, j in zip(*np.nonzero(open_pairs), strict=True):
             x, y = below_a[i], below_b[j]
             itself = same and x == y
@@ -184,11 +217,11 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return stored(grouped.select(F.monotonically_increasing_id().alias("cid"), "label", F.size("vector").alias("dim"), "vector", "n", "rep"))
 
 
-def _cells(classes: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(points with their leaf ``node``, all nodes): Spark's levels of the trees."""
+def _cells(classes: DataFrame, leaf_rows: int, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """(points with their leaf ``node``, all nodes), both kept in ``shelf``: Spark's levels of the trees."""
     root = F.concat_ws("/", F.col("label").cast("string"), F.col("dim").cast("string"))
     points = classes.select("cid", "label", "dim", "vector", "n", root.alias("node"), F.lit(2.0).alias("radius"), F.lit(0.0).alias("away"))
-    done, nodes = [], []
+    done, nodes, levels, columns = [], [], Shelf(classes.sparkSession), ("cid", "node", "vector", "n", "dim")
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cid")
@@ -217,13 +250,11 @@ def _cells(classes: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     while True:
-        sizes = points.groupBy("node", "radius").count()
-        large = stored(sizes.where(F.col("count") > leaf_rows).select("node", "count"))
-        small = sizes.where(F.col("count") <= leaf_rows).select("node")
+        large = stored(points.groupBy("node").count().where(F.col("count") > leaf_rows))
         if large.isEmpty():
-            done.append(points.join(small, "node", "left_semi"))
+            done.append(shelf.put(points.select(*columns)))
             break
-        done.append(points.join(small, "node", "left_semi"))
+        done.append(shelf.put(points.join(large, "node", "left_anti").select(*columns)))
         # About 8 candidates for every centre, two at least: a share of the cell that does not grow with it.
         drawn = points.join(large, "node").withColumn("place", uniform("cid")).where(F.col("place") * F.col("count") < 16 * CENTRES)
         centres = stored(drawn.groupBy("node").applyInPandas(pick, "node string, centres array<double>, level double"))
@@ -231,21 +262,22 @@ def _cells(classes: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
         # Blocks of members, so that the centres travel with each block and not with each member.
         part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("count") / BLOCK))
         members = points.join(large, "node").groupBy("node", "label", "dim", part.alias("part")).agg(F.collect_list(F.struct("cid", "vector", "n")).alias("members"))
-        moved = stored(members.join(centres, "node").select("members", "centres", "node", "level", "label", "dim").mapInArrow(nearest, fields))
+        moved = levels.put(members.join(centres, "node").select("members", "centres", "node", "level", "label", "dim").mapInArrow(nearest, fields))
         inner = moved.groupBy("node", "parent", "label", "dim").agg(F.max("away").alias("radius"), F.count("*").alias("count"))
         split = inner.join(centres.withColumnRenamed("node", "parent"), "parent").withColumn("at", F.element_at(F.split("node", "/"), -1).cast("int"))
-        nodes.append(split.select("node", "parent", "label", "dim", F.slice("centres", F.col("at") * F.col("dim") + 1, F.col("dim")).alias("centre"), "radius", (F.col("count") <= leaf_rows).alias("leaf")))
+        nodes.append(stored(split.select("node", "parent", "label", "dim", F.slice("centres", F.col("at") * F.col("dim") + 1, F.col("dim")).alias("centre"), "radius", (F.col("count") <= leaf_rows).alias("leaf"))))
+        levels.clear(keep=1)
         points = moved.drop("parent")
-    columns = ("cid", "node", "vector", "n", "dim")
-    leaves = done[0].select(*columns)
+    levels.clear()
+    points = done[0]
     for part in done[1:]:
-        leaves = leaves.unionByName(part.select(*columns))
+        points = points.unionByName(part)
     roots = classes.groupBy("label", "dim").agg(F.count("*").alias("count")).select(
         root.alias("node"), F.lit(None).cast("string").alias("parent"), "label", "dim", F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"), (F.col("count") <= leaf_rows).alias("leaf")
     )
     for part in nodes:
         roots = roots.unionByName(part)
-    return stored(leaves), stored(roots)
+    return points, shelf.put(roots)
 
 
 def _leaf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -270,48 +302,79 @@ def _leaf_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
         pairs = stored(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), "leaf_a", "leaf_b").distinct())
 
 
-def _compare(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(cid, n_links, other): link counts with other = null, and spanning links with n_links = null."""
-    both = pairs.join(blocks.select(F.col("node").alias("a"), F.col("points").alias("left"), "dim"), "a")
-    both = both.join(blocks.select(F.col("node").alias("b"), F.col("points").alias("right")), "b")
-    both = both.withColumn("right", F.when(F.col("a") != F.col("b"), F.col("right")))
+def _tiles(leaves: DataFrame) -> DataFrame:
+    """(node, tile): leaf cells of one tree, dealt to tiles of about ``TILE`` numbers."""
+    sizes = stored(leaves.groupBy("node", "dim").agg(F.count("*").alias("rows")).withColumn("root", F.substring_index("node", "/", 2)))
+    parts = sizes.groupBy("root").agg(F.ceil(F.sum(F.col("rows") * F.col("dim")) / TILE).alias("parts"))
+    return stored(sizes.join(parts, "root").select("node", F.concat_ws(":", "root", F.pmod(F.xxhash64("node"), "parts").cast("string")).alias("tile")))
+
+
+def _compare(leaves: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(cid, n_links, other): link counts with other = null, and spanning links with n_links = null.
+
+    Pairs of cells are dealt by their pair of tiles, with one copy of each cell among them, whose tree is built once.
+    """
+    tiles = _tiles(leaves)
+    placed = pairs.join(tiles.select(F.col("node").alias("a"), F.col("tile").alias("tile_a")), "a").join(tiles.select(F.col("node").alias("b"), F.col("tile").alias("tile_b")), "b")
+    placed = stored(placed.select(F.least("tile_a", "tile_b").alias("s"), F.greatest("tile_a", "tile_b").alias("t"), "a", "b"))
+    blocks = leaves.groupBy("node", "dim").agg(F.collect_list(F.struct("cid", "n", "vector")).alias("points"))  # leaf_rows at most
+    cells = placed.select("s", "t", F.explode(F.array("a", "b")).alias("node")).distinct().join(blocks, "node")
+    rows = cells.select("s", "t", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "dim", "points").unionByName(placed, allowMissingColumns=True)
+    rows = rows.repartition("s", "t").sortWithinPartitions("s", "t", F.col("b").isNotNull(), "a", "b")
 
     def load(points, dim):
         values = points.values
         return values.field("cid").to_numpy(), values.field("n").to_numpy(), Tree(_unit(_matrix(values.field("vector"), dim)))
 
     def run(source):
+        tile, held, counts, spanning = None, {}, {}, []
+
+        def settled():
+            """What the pairs of one pair of tiles have given."""
+            hit = {node: np.flatnonzero(n) for node, n in counts.items()}
+            points = [held[node][0][rows] for node, rows in hit.items()]
+            links = [counts[node][rows] for node, rows in hit.items()]
+            a, b = (np.concatenate([np.empty(0, dtype=np.int64), *(x[i] for x in spanning)]) for i in (0, 1))
+            cids = np.concatenate([a, *points])
+            n_links = pa.concat_arrays([pa.nulls(len(a), pa.int64()), *(pa.array(n, pa.int64()) for n in links)])
+            return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), n_links, pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(cids) - len(a), pa.int64())])], ["cid", "n_links", "other"])
+
         for batch in source:
-            dims = batch.column("dim").to_pylist()
-            for row in range(batch.num_rows):
-                cids, weights, left = load(batch.column("left")[row], dims[row])
-                other = batch.column("right")[row]
-                if other.is_valid:
-                    cids_b, weights_b, right = load(other, dims[row])
-                    found = traverse(left, right, weights, weights_b, threshold)
-                    cids = np.concatenate([cids, cids_b])
-                else:
-                    found = traverse(left, left, weights, weights, threshold)
-                hit = np.flatnonzero(found.counts)
-                a, b = (cids[[s[i] for s in found.spanning]] for i in (0, 1)) if found.spanning else (cids[:0], cids[:0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([cids[hit], a])), pa.array([*found.counts[hit].tolist(), *[None] * len(a)], pa.int64()), pa.array([*[None] * len(hit), *b.tolist()], pa.int64())],
-                    ["cid", "n_links", "other"],
-                )
-
-    return both.select("left", "right", "dim").mapInArrow(run, "cid long, n_links long, other long")
+            names, points = (batch.column(c).to_pylist() for c in ("s", "t", "a", "b", "dim")), batch.column("points")
+            for row, (s, t, a, b, dim) in enumerate(zip(*names, strict=True)):
+                if (s, t) != tile:
+                    if counts:
+                        yield settled()
+                    tile, held, counts, spanning = (s, t), {}, {}, []
+                if b is None:
+                    held[a] = load(points[row], dim)
+                    continue
+                (cids_a, weights_a, left), (cids_b, weights_b, right) = held[a], held[b]
+                found = traverse(left, right, weights_a, weights_b, threshold)
+                counts[a] = counts.get(a, 0) + found.counts[: len(cids_a)]
+                if a != b:
+                    counts[b] = counts.get(b, 0) + found.counts[len(cids_a) :]
+                if found.spanning:
+                    cids = cids_a if a == b else np.concatenate([cids_a, cids_b])
+                    spanning.append(cids[np.array(found.spanning).T])
+        if counts:
+            yield settled()
+
+    return rows.mapInArrow(run, "cid long, n_links long, other long")
 
 
 def near_copies(vectors: DataFrame, threshold: float = 0.93, leaf_rows: int = 2048, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept), one row per vector."""
     source = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     classes = _classes(source)
-    leaves, nodes = _cells(classes, leaf_rows)
+    kept = Shelf(vectors.sparkSession)
+    leaves, nodes = _cells(classes, leaf_rows, kept)
     pairs = _leaf_pairs(nodes, threshold)
-    blocks = leaves.groupBy("node", "dim").agg(F.collect_list(F.struct("cid", "n", "vector")).alias("points"))  # leaf_rows at most
-    found = stored(_compare(blocks, pairs, threshold))
+    found = stored(_compare(leaves, pairs, threshold))
+    kept.clear()
     counts = found.where("n_links is not null").groupBy("cid").agg(F.sum("n_links").alias("others"))
-    joined = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
+    joined = stored(components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")), kept.put))
+    kept.clear()
     placed = classes.select("cid", "label", "vector", "n", "rep").join(joined.withColumnRenamed("id", "cid"), "cid", "left")
     placed = placed.withColumn("component", F.coalesce("component_id", "cid")).drop("component_id")
     names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
